@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.session import table
 
-from . import byte_bpe, decontaminate, exact_dedup, simhash
+from . import byte_bpe, decontaminate, exact_dedup, secrets, simhash, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op9_token_orc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.scan(table(spark, sf_dir, "documents")))
