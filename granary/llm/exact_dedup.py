@@ -29,22 +29,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, " ")
     texts = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
-    blocks = F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block_chars), F.lit(0))
     meta = cut(
         texts.select(
             "id",
             F.coalesce("id", F.lit(NONE)).alias("key"),
             F.xxhash64("norm").alias("h"),
             F.sha2("norm", 256).alias("text_sha256"),
-            F.transform(blocks, lambda b: F.xxhash64(b)).alias("hashes"),
+            F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block_chars), F.lit(0)).alias("blocks"),
             F.monotonically_increasing_id().alias("row"),
-        ),
+        ).withColumn("hashes", F.transform("blocks", lambda b: F.xxhash64(b))),
         "dedup-meta",
     )
     largest, total = meta.agg(F.max(F.size("hashes")), F.sum(F.size("hashes"))).first()
     done = [meta.where(F.size("hashes") == 0).select("key", "h", F.lit(0).alias("n_blocks"), F.lit(0).cast("long").alias("name"))]
     if largest:
-        level = cut(_first_names(texts, blocks, meta, total), "dedup-names")
+        level = cut(_first_names(meta, total), "dedup-names")
         while True:
             done.append(level.where("n = 1").select("key", "h", "n_blocks", "name"))
             largest = (largest + 1) // 2 if largest > 1 else 0
@@ -68,12 +67,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _first_names(texts: DataFrame, blocks, meta: DataFrame, total: int) -> DataFrame:
+def _first_names(meta: DataFrame, total: int) -> DataFrame:
     """Names of all blocks: key, h, i, n, n_blocks, name; the text is shuffled once."""
     counts = meta.select(F.explode("hashes").alias("b")).groupBy("b").count()
     hot = [r[0] for r in counts.where(F.col("count") > max(total * HOT_SHARE, 100)).select("b").collect()]  # at most 1 / HOT_SHARE
-    rows = texts.select(F.coalesce("id", F.lit(NONE)).alias("key"), F.xxhash64("norm").alias("h"), blocks.alias("blocks"))
-    rows = rows.select("key", "h", F.size("blocks").alias("n"), F.posexplode("blocks").alias("i", "block"))
+    rows = meta.select("key", "h", F.size("blocks").alias("n"), F.posexplode("blocks").alias("i", "block"))
     is_hot = F.xxhash64("block").isin(hot) if hot else F.lit(False)
     out = ["key", "h", "i", "n", F.col("n").alias("n_blocks"), "name"]
     cold = rows.where(~is_hot).repartition("block").sortWithinPartitions("block", "key", "h", "i")
