@@ -4,33 +4,38 @@ Documents are dealt by ranges of their ids and sorted, encoded, and written in t
 a range of ids. A read for some ids prunes stripes and row groups by their ranges and Bloom filters; a full read goes
 stripe by stripe in parallel.
 
-Encoding caches the ids of white-space-separated words: the tokenizer's pieces never hold white space, and its
-normaliser does not look past it, so a text's ids are those of its words joined.
+Encoding caches the ids of white-space-separated words, in lower case as the tokenizer makes them: its pieces never hold
+white space, and its normaliser does not look past it, so a text's ids are those of its words joined.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
+from .byte_bpe import byte_characters
 from .common import new_path, slices
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Words whose ids a Python worker keeps.
-CACHE = 400_000
+CACHE = 500_000
 #: A word that parts other words in one call; its single id marks the cuts.
 MARK = b"\x01"
+#: A comma or full stop between a letter and white space is a piece of its own.
+POINT = re.compile(rb"[,.](?=[\x20\x0a])(?:(?<=[a-z][,.])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][,.]))")
+#: A word of lower-case Latin letters: one piece, already normalised.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Bytes of text encoded at once.
 PART = 1 << 20
 
@@ -42,29 +47,42 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.bare = Tokenizer(self.tokenizer.model)  # for words that the normaliser and the splitter leave whole
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.spelled = dict(enumerate(byte_characters()))
+        (self.mark,) = self._ids(self.tokenizer, MARK.decode())
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if MARK not in w]
+    def learn(self, words: set[bytes]) -> None:
+        """Ids of new words, many in a call."""
+        plain = [w for w in words if PLAIN.fullmatch(w)]
         for start in range(0, len(plain), 2000):
             part = plain[start : start + 2000]
-            ids = self.tokenizer.encode_batch_fast([f"\n{MARK.decode()}\n".join(w.decode() for w in part)], add_special_tokens=False)[0].ids
-            ids = np.array(ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            raw = ids.tobytes()
-            for w, a, b in zip(part, [0, *(4 * (ends + 1)).tolist()], [*(4 * ends).tolist(), len(raw)], strict=True):
-                self.known[w] = raw[a:b]
+            ids = self._ids(self.bare, " ".join([w.decode("latin-1").translate(self.spelled) for w in part]))
+            lasts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            self._put(part, ids, [0, *lasts[:-1]], lasts)
+        others = [w for w in words.difference(plain) if MARK not in w]
+        for start in range(0, len(others), 2000):
+            part = others[start : start + 2000]
+            ids = self._ids(self.tokenizer, f"\n{MARK.decode()}\n".join([w.decode() for w in part]))
+            cuts = 4 * np.flatnonzero(ids == self.mark)
+            self._put(part, ids, [0, *(cuts + 4).tolist()], [*cuts.tolist(), 4 * len(ids)])
         for w in words:
             if MARK in w:
-                self.known[w] = self.ids(w.decode()).tobytes()
+                self.known[w] = self._ids(self.tokenizer, w.decode()).tobytes()
+
+    def _ids(self, tokenizer: Tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _put(self, words: list[bytes], ids: np.ndarray, firsts: list[int], lasts: list[int]) -> None:
+        raw = ids.tobytes()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, firsts, lasts, strict=True))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t or b"").split() for t in texts]
-        new = [w for w in set(chain.from_iterable(split)) if w not in self.known]
+        split = [POINT.sub(rb" \g<0>", (t or b"").lower()).split() for t in texts]
+        new = set().union(*split).difference(self.known)
         self.learn(new)
         found = [b"".join(map(self.known.__getitem__, words)) for words in split]
         if len(self.known) > CACHE:
