@@ -24,6 +24,8 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 from .common import BATCH_BYTES, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Bytes of text in a call of the encoder, whose results take many times that.
+PART = 1 << 18
 
 
 def byte_characters() -> list[str]:
@@ -87,7 +89,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         lengths = np.zeros(max(ranks(path).values()) + 1, np.int64)
         lengths[list(ranks(path).values())] = [len(x) for x in ranks(path)]
         for batch in batches:
-            for start, texts in slices(batch.column(1)):
+            for start, texts in slices(batch.column(1), PART):
                 found = [np.array(e.ids, "<u4") for e in t.encode_batch_fast([(x or b"").decode() for x in texts], add_special_tokens=False)]
                 columns = [batch.column(0).slice(start, len(texts)), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())]
                 if offsets:
