@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.session import table
 
-from . import byte_bpe, decontaminate, exact_dedup, secrets, simhash, token_orc
+from . import byte_bpe, decontaminate, exact_dedup, langid, secrets, simhash, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +79,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secrets")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~langid.held_out()))
+    return langid.identify(docs, model, runs=False).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
