@@ -1,26 +1,52 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline of five stages: language identification, exact dedup, near-dedup, decontamination, token ids.
+
+Each stage works on all rows that its predecessor kept. run() writes each stage's rows to the shared folder and reads
+them back, so no stage is computed twice and lost executors cost one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.llm import byte_bpe, decontaminate, exact_dedup, langid, simhash
+from granary.llm.common import cut
+from granary.session import table
 
-from granary.llm import exact_dedup, simhash
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is identified; those with no letters go."""
+    return langid.keep_identified(docs, langid.learn(docs))
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each class of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each component of near copies."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("exact dedup", dedup), ("SimHash near-dedup", near)]
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in which no window of a benchmark item occurs."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, packed token ids, their number and digest, and the digest of the text that they decode to."""
+    found = byte_bpe.decode(byte_bpe.encode(docs))
+    return found.select("doc_id", "ids", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language ID", language), ("exact dedup", exact), ("SimHash near-dedup", near), ("benchmark decontamination", clean), ("byte-level BPE", tokens)]
+#: Token ids and the field's probabilities are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), "pipeline")
+    return STAGES[-1][1](spark, docs, sf_dir)
