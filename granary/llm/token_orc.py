@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from .byte_bpe import byte_characters
-from .common import new_path, slices
+from .common import cut, new_path, slices
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -141,7 +141,7 @@ def positions(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
             sums = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], names=schema.names)
 
-    found = rows.select("row", id_col, "ids").mapInArrow(run, schema).withColumn("part", F.shiftright("row", 33))
+    found = cut(rows.select("row", id_col, "ids").mapInArrow(run, schema), "token-counts").withColumn("part", F.shiftright("row", 33))
     parts = found.groupBy("part").agg(F.sum("n_tokens").alias("held"))  # a row for each part that was written
     before = F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
