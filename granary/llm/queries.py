@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.session import table
 
-from . import byte_bpe, decontaminate, exact_dedup, langid, secrets, simhash, token_orc
+from . import byte_bpe, decontaminate, exact_dedup, langid, line_dedup, secrets, simhash, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(~langid.held_out()))
     return langid.identify(docs, model, runs=False).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    removed = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x[0], x[1])), ",")
+    return found.select("doc_id", "text", "n_lines", "n_removed", removed.alias("removed"))
