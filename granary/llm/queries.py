@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.session import table
 
-from . import byte_bpe, decontaminate, exact_dedup, langid, line_dedup, secrets, simhash, token_orc
+from . import byte_bpe, decontaminate, exact_dedup, langid, licences, line_dedup, secrets, simhash, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     removed = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x[0], x[1])), ",")
     return found.select("doc_id", "text", "n_lines", "n_removed", removed.alias("removed"))
+
+
+@query("op6_licences")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
