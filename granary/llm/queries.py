@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.session import table
 
-from . import byte_bpe, decontaminate, exact_dedup, langid, licences, line_dedup, secrets, simhash, token_orc
+from . import byte_bpe, decontaminate, exact_dedup, html_text, langid, licences, line_dedup, secrets, simhash, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_licences")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows = pages.withColumn("page", F.struct("page_id", "url"))
+    return html_text.extract(rows, "page").select("page.page_id", "page.url", "text", "n_chars")
