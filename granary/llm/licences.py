@@ -183,18 +183,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     classes, weights, templates, bias, temperature = train(spark)
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
     lines = lines.withColumn("words", split_words(F.col("line"))).where(F.arrays_overlap("words", F.lit(ANCHORS)))
-    grams = lines.select("id", "h", "paragraph", F.explode(ngrams(F.col("words"))).alias("gram")).distinct()
     key = ["id", "h", "paragraph"]
+    # The one shuffle; all that follows is grouped by the same key.
+    lines = lines.select(*key, ngrams(F.col("words")).alias("grams")).dropDuplicates(key)
     sums = [F.sum(F.element_at("w", k + 1)).alias(f"z{k}") for k in range(len(classes))]
-    scored = grams.join(F.broadcast(weights), "gram").groupBy(*key).agg(*sums)
+    weighed = lines.withColumn("gram", F.explode("grams")).join(F.broadcast(weights), "gram")
+    scored = weighed.groupBy(*key).agg(F.first("grams").alias("grams"), *sums)
     z = [(F.round(F.col(f"z{k}"), 6) + bias[k]) / temperature for k in range(len(classes))]
-    scored = scored.select(*key, F.array(*z).alias("z"))
+    scored = scored.select(*key, "grams", F.array(*z).alias("z"))
     top = F.array_max("z")
     share = F.exp(F.lit(0.0)) / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("z")))
     named = F.element_at(F.lit(classes), F.array_position(F.col("z"), top).cast("int"))
-    scored = scored.select(*key, named.alias("family"), F.round(share, 6).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
-    held = grams.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template").agg((F.count("*") / F.max("size")).alias("part"))
-    held = held.groupBy(*key, "family").agg(F.round(F.max("part"), 6).alias("template_share"))
-    same = [scored[k].eqNullSafe(held[k]) for k in key]
-    joined = scored.join(held, [*same, scored["family"] == held["family"]], "left")
-    return joined.select(scored["id"].alias(id_col), scored["paragraph"], scored["family"], "probability", F.coalesce("template_share", F.lit(0.0)).alias("template_share"), (F.coalesce("template_share", F.lit(0.0)) >= similar).alias("confirmed"))
+    scored = scored.select(*key, "grams", named.alias("family"), F.round(share, 6).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
+    one = [*key, "family", "probability"]
+    held = scored.withColumn("gram", F.explode("grams")).join(F.broadcast(templates), ["gram", "family"], "left")
+    held = held.groupBy(*one, "template").agg(F.coalesce(F.count("size") / F.max("size"), F.lit(0.0)).alias("part"))
+    found = held.groupBy(*one).agg(F.round(F.max("part"), 6).alias("template_share"))
+    return found.select(F.col("id").alias(id_col), "paragraph", "family", "probability", "template_share", (F.col("template_share") >= similar).alias("confirmed"))
