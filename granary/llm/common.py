@@ -45,12 +45,13 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, how:
     """Join left to right on non-null keys, where right has one row a key and in column `count` the rows that the key has in left.
 
     Keys with more than HOT_SHARE of the rows are joined by broadcast, at most 1 / HOT_SHARE rows whatever the
-    input's size; the rest by a shuffle, in which no key is large. Both inputs should be tables, as they are read twice.
+    input's size; the rest by a merge join at every size, in which no key is large. Both inputs should be tables, as they
+    are read twice.
     """
     total = right.agg(F.sum(count)).first()[0] or 0
     limit = max(total * HOT_SHARE, 100)
     hot = right.where(F.col(count) > limit)
-    cold = right.where(F.col(count) <= limit).drop(count)
+    cold = right.where(F.col(count) <= limit).drop(count).hint("merge")
     if hot.isEmpty():
         return left.join(cold, on, how)
     hot = hot.drop(count)
