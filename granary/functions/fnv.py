@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: The public offset basis and prime.
 BASIS, PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fnv1a(texts: pd.Series) -> pd.Series:
     """The hash of the UTF-8 bytes as a signed long, null for null: all texts of a batch go forward together, byte by byte."""
     raw = [t.encode() if t is not None else b"" for t in texts]

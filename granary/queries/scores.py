@@ -12,7 +12,6 @@ from granary.session import table
 from . import Registry
 
 REGISTRY = query = Registry()
-MASK = F.col("teacher_status") == "exact"
 _ERR = f"WITH {SQL}, e AS (SELECT *, candidate_cp - teacher_cp AS err FROM s WHERE teacher_status = 'exact')"
 _GROUP = """
     SELECT game, count(*) FILTER (WHERE teacher_status = 'exact') AS n_mask, count(candidate_cp - teacher_cp) FILTER (WHERE teacher_status = 'exact') AS n_cand,
@@ -22,9 +21,13 @@ _GROUP = """
 _MAE = "CASE WHEN n_mask > 0 AND n_mask = n_cand THEN round(abs_sum / n_mask, 6) END"
 
 
+def mask():
+    return F.col("teacher_status") == "exact"
+
+
 def groups(spark, sf_dir, full=False):
     rows = scores(spark, sf_dir)
-    return E.masked_group_error(rows.where("candidate_cp IS NOT NULL") if full else rows, "game", MASK, "teacher_cp", "candidate_cp")
+    return E.masked_group_error(rows.where("candidate_cp IS NOT NULL") if full else rows, "game", mask(), "teacher_cp", "candidate_cp")
 
 
 @query("jon06_scores", f"WITH {SQL} SELECT * FROM s")
@@ -53,7 +56,7 @@ def _(spark, sf_dir):
 
 @query("agg04_micro_diagnostics", f"{_ERR} SELECT count(err) AS n, round(avg(abs(err)), 6) AS mae, round(avg(err), 6) AS bias, max(abs(err)) AS max_abs FROM e")
 def _(spark, sf_dir):
-    e = scores(spark, sf_dir).where(MASK).withColumn("err", F.expr("candidate_cp - teacher_cp"))
+    e = scores(spark, sf_dir).where(mask()).withColumn("err", F.expr("candidate_cp - teacher_cp"))
     return e.agg(F.count("err").alias("n"), F.round(F.avg(F.abs("err")), 6).alias("mae"), F.round(F.avg("err"), 6).alias("bias"), F.max(F.abs("err")).alias("max_abs"))
 
 
@@ -92,7 +95,7 @@ _THRESHOLDS = [0, 50, 100, 250, 500, 1000, 2000]
 
 @query("agg09_accuracy_curve", f"{_ERR}, t(threshold) AS (VALUES {', '.join(f'({t})' for t in _THRESHOLDS)}), c AS (SELECT threshold, game, count(*) AS n, count(*) FILTER (WHERE abs(err) <= threshold) AS hits FROM t CROSS JOIN e WHERE err IS NOT NULL GROUP BY 1, 2) SELECT threshold, count(*) AS n_groups, CAST(sum(hits) AS BIGINT) AS hits, round(avg(hits / n), 6) AS accuracy FROM c GROUP BY 1")
 def _(spark, sf_dir):
-    e = scores(spark, sf_dir).where(MASK).withColumn("err", F.expr("candidate_cp - teacher_cp"))
+    e = scores(spark, sf_dir).where(mask()).withColumn("err", F.expr("candidate_cp - teacher_cp"))
     return E.accuracy_curve(e, "game", "err", _THRESHOLDS)
 
 
@@ -155,13 +158,13 @@ def _(spark, sf_dir):
 
 @query("agg20_integer_static_metrics", f"{_ERR} SELECT count(err) AS n, CAST(sum(abs(err)) AS BIGINT) AS absolute_error_sum, CAST(sum(err * err) AS BIGINT) AS square_sum FROM e")
 def _(spark, sf_dir):
-    e = scores(spark, sf_dir).where(MASK).withColumn("err", F.expr("candidate_cp - teacher_cp"))
+    e = scores(spark, sf_dir).where(mask()).withColumn("err", F.expr("candidate_cp - teacher_cp"))
     return e.agg(F.count("err").alias("n"), F.sum(F.abs("err")).alias("absolute_error_sum"), F.sum(F.expr("err * err")).alias("square_sum"))
 
 
 @query("agg21_reanalysis_summary", f"WITH {SQL} SELECT count(*) FILTER (WHERE teacher_status = 'exact') AS n_exact, count(*) FILTER (WHERE teacher_status = 'bound') AS n_bounded, count(*) FILTER (WHERE teacher_cp % 10 = candidate_cp % 10) AS n_match, min(teacher_cp) AS least, max(teacher_cp) AS most FROM s")
 def _(spark, sf_dir):
-    return scores(spark, sf_dir).agg(F.count_if(MASK).alias("n_exact"), F.expr("count_if(teacher_status = 'bound')").alias("n_bounded"), F.expr("count_if(teacher_cp % 10 = candidate_cp % 10)").alias("n_match"), F.min("teacher_cp").alias("least"), F.max("teacher_cp").alias("most"))
+    return scores(spark, sf_dir).agg(F.count_if(mask()).alias("n_exact"), F.expr("count_if(teacher_status = 'bound')").alias("n_bounded"), F.expr("count_if(teacher_cp % 10 = candidate_cp % 10)").alias("n_match"), F.min("teacher_cp").alias("least"), F.max("teacher_cp").alias("most"))
 
 
 _FEATURES = ["p_size", "q", "d"]
@@ -186,7 +189,7 @@ def _(spark, sf_dir):
 
 @query("agg30_weighted_loss", f"{_ERR} SELECT round(sum(w * err * err) / sum(w), 4) AS weighted, round(avg(err * err), 4) AS raw FROM (SELECT CAST(err AS DOUBLE) AS err, CASE WHEN first_side THEN 2.0 ELSE 1.0 END AS w FROM e WHERE err IS NOT NULL)")
 def _(spark, sf_dir):
-    e = scores(spark, sf_dir).where(MASK & F.col("candidate_cp").isNotNull()).select(F.expr("cast(candidate_cp - teacher_cp as double)").alias("err"), F.expr("CASE WHEN first_side THEN 2.0D ELSE 1.0D END").alias("w"))
+    e = scores(spark, sf_dir).where(mask() & F.col("candidate_cp").isNotNull()).select(F.expr("cast(candidate_cp - teacher_cp as double)").alias("err"), F.expr("CASE WHEN first_side THEN 2.0D ELSE 1.0D END").alias("w"))
     return e.agg(F.round(F.sum(F.expr("w * err * err")) / F.sum("w"), 4).alias("weighted"), F.round(F.avg(F.expr("err * err")), 4).alias("raw"))
 
 
@@ -222,14 +225,14 @@ def _(spark, sf_dir):
 
 @query("top05_rank_candidates", f"{_ERR} SELECT k AS ridge, CAST(sum(abs(err) + k * (position % 3)) AS BIGINT) AS error FROM e CROSS JOIN (VALUES (1), (10), (100)) g(k) WHERE err IS NOT NULL GROUP BY 1 ORDER BY error, ridge DESC LIMIT 1")
 def _(spark, sf_dir):
-    e = scores(spark, sf_dir).where(MASK & F.col("candidate_cp").isNotNull())
+    e = scores(spark, sf_dir).where(mask() & F.col("candidate_cp").isNotNull())
     tall = e.select("position", F.expr("candidate_cp - teacher_cp").alias("err"), F.explode(F.array(F.lit(1), F.lit(10), F.lit(100))).alias("ridge"))
     return tall.groupBy("ridge").agg(F.sum(F.expr("abs(err) + ridge * (position % 3)")).alias("error")).orderBy("error", F.desc("ridge")).limit(1)
 
 
 @query("dq12_decision", f"{_ERR}, d AS (SELECT sum(abs(err)) FILTER (WHERE first_side) AS a, count(err) FILTER (WHERE first_side) AS na, sum(abs(err)) FILTER (WHERE NOT first_side) AS b, count(err) FILTER (WHERE NOT first_side) AS nb, count(*) FILTER (WHERE first_side AND abs(err) <= 300) AS ha, count(*) FILTER (WHERE NOT first_side AND abs(err) <= 300) AS hb FROM e) SELECT CASE WHEN b * na < a * nb AND hb * na >= ha * nb THEN 'adopt' WHEN b * na < a * nb OR hb * na > ha * nb THEN 'hold' ELSE 'reject' END AS decision FROM d")
 def _(spark, sf_dir):
-    e = scores(spark, sf_dir).where(MASK).withColumn("err", F.expr("candidate_cp - teacher_cp"))
+    e = scores(spark, sf_dir).where(mask()).withColumn("err", F.expr("candidate_cp - teacher_cp"))
     d = e.agg(*[F.expr(x) for x in ("sum(abs(err)) filter (where first_side) a", "count(err) filter (where first_side) na", "sum(abs(err)) filter (where not first_side) b", "count(err) filter (where not first_side) nb", "count_if(first_side and abs(err) <= 300) ha", "count_if(not first_side and abs(err) <= 300) hb")])
     # cross products of integers: an exact comparison of fractions
     return d.select(F.expr("CASE WHEN b * na < a * nb AND hb * na >= ha * nb THEN 'adopt' WHEN b * na < a * nb OR hb * na > ha * nb THEN 'hold' ELSE 'reject' END").alias("decision"))
