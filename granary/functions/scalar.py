@@ -100,3 +100,41 @@ def forbidden(text: Column) -> Column:
 def canonical_json(*columns: Column | str) -> Column:
     """JSON of the columns in the order given, nulls kept (SNK-03)."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def board_valid(board: Column, ranks: int = 9, files: int = 9) -> Column:
+    """Whether a board text has `ranks` parts of `files` squares; digits are runs of empty squares, + marks the next piece (FN-14)."""
+    squares = lambda part: F.length(F.regexp_replace(part, "[+0-9]", "")) + F.aggregate(F.regexp_extract_all(part, F.lit("[0-9]"), F.lit(0)), F.lit(0), lambda n, d: n + d.cast("int"))
+    parts = F.split(board, "/")
+    return (F.size(parts) == ranks) & F.forall(parts, lambda p: (squares(p) == files) & p.rlike(r"^(?:[1-9]|\+?[A-Za-z])+$"))
+
+
+def signed_material(board: Column, values: dict[str, int]) -> Column:
+    """Values of upper-case pieces less those of lower-case ones; a promoted piece is given as +x (FN-15, FN-16).
+
+    The count of a plain piece includes promoted ones unless `values` has +x, which then counts apart.
+    """
+    total = F.lit(0)
+    for piece, value in values.items():
+        for name, sign in ((piece.upper(), 1), (piece.lower(), -1)):
+            alone = "(?<![+])" if "+" + piece in values else ""
+            total = total + sign * value * F.regexp_count(board, F.lit(alone + name.replace("+", "[+]")))
+    return total.cast("long")
+
+
+def rotated_swap(board: Column) -> Column:
+    """A board turned by half a turn with colours swapped; + stays before its piece (FN-26)."""
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    turned = F.reverse(F.translate(board, lower + lower.upper(), lower.upper() + lower))
+    return F.regexp_replace(turned, r"([A-Za-z])[+]", "+$1")
+
+
+def anonymised(game: Column) -> Column:
+    """A game text with both players' names replaced (SNK-10)."""
+    return F.regexp_replace(game, r"(?m)^N([+-]).*$", "N$1player")
+
+
+def markdown_row(*columns: Column | str) -> Column:
+    """A row of a Markdown table; nulls are empty cells and bars are escaped (SNK-06)."""
+    cells = [F.replace(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))

@@ -101,3 +101,22 @@ def gram(vectors: DataFrame, column: str, scale: int = 1000) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "s"])
 
     return vectors.select(column).mapInArrow(run, "i int, j int, s long").groupBy("i", "j").agg(F.sum("s").alias("s"))
+
+
+def ridge_grid(rows: DataFrame, first: str, second: str, target: str, ridges: list[float]) -> DataFrame:
+    """(ridge, w1, w2) for each ridge from one pass of partial sums; two features without intercept, in closed form (NUM-03).
+
+    A singular system gives null weights.
+    """
+    x, z, y = F.col(first).cast("double"), F.col(second).cast("double"), F.col(target).cast("double")
+    sums = rows.agg(F.sum(x * x).alias("xx"), F.sum(x * z).alias("xz"), F.sum(z * z).alias("zz"), F.sum(x * y).alias("xy"), F.sum(z * y).alias("zy"))
+    tall = sums.withColumn("ridge", F.explode(F.array(*map(F.lit, ridges)))).withColumn("det", F.expr("(xx + ridge) * (zz + ridge) - xz * xz"))
+    w1, w2 = F.expr("(zz + ridge) * xy - xz * zy"), F.expr("(xx + ridge) * zy - xz * xy")
+    return tall.select("ridge", F.round(F.try_divide(w1, "det"), 4).alias("w1"), F.round(F.try_divide(w2, "det"), 4).alias("w2"))
+
+
+def wrapping_fingerprint(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Per group an order-independent fingerprint: the sum of the rows' 64-bit hashes modulo 2^64, as text (AGG-25)."""
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", *columns), 256), 1, 16), 16, 10).cast("decimal(28,0)")
+    wrapped = F.sum(h) % F.lit("18446744073709551616").cast("decimal(38,0)")
+    return rows.groupBy(group).agg(F.count("*").alias("n"), wrapped.cast("decimal(20,0)").cast("string").alias("fingerprint"))

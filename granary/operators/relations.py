@@ -110,3 +110,39 @@ def pick_exclusive(candidates: DataFrame, buckets: list[str], per_bucket: int, b
                 chosen.append((bucket, r.id, r.a, r.b))
                 taken += 1
     return chosen
+
+
+def field_mismatches(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Per field: rows only on one side, and rows on both whose values differ, null being a value (JON-14).
+
+    One merge join on the key and one pass of counts; keys are unique on each side, so none is hot.
+    """
+    a = left.select(F.col(key).alias("a_key"), *[F.col(f).alias(f"a_{f}") for f in fields])
+    b = right.select(F.col(key).alias("b_key"), *[F.col(f).alias(f"b_{f}") for f in fields])
+    joined = a.join(b, F.col("a_key") == F.col("b_key"), "full")
+    both = F.col("a_key").isNotNull() & F.col("b_key").isNotNull()
+    counts = joined.agg(
+        F.count_if(F.col("a_key").isNull()).alias("only_right"),
+        F.count_if(F.col("b_key").isNull()).alias("only_left"),
+        *[F.count_if(both & ~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}"))).alias(f"d{i}") for i, f in enumerate(fields)],
+    )
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col("only_right"), F.col("only_left"), F.col(f"d{i}").alias("differing")) for i, f in enumerate(fields)])))
+
+
+def observations(events: DataFrame, group: str, order: list[str], value: str, marker: Column) -> DataFrame:
+    """One classified observation per group: evidence counts, the last and the largest value, and a status (FN-11).
+
+    More than one marker is `ambiguous`, no value `no_score`, no marker `protocol_failure`, else `exact`. All are partial
+    aggregates (the last value is the value of the largest order key), so a hot group is combined before the shuffle.
+    """
+    v = F.col(value)
+    out = events.groupBy(group).agg(
+        F.count("*").alias("n_events"),
+        F.count_if(marker).alias("markers"),
+        F.count_if(v > 0).alias("n_positive"),
+        F.count_if(v == 0).alias("n_zero"),
+        F.max(F.when(v.isNotNull(), F.struct(*order, v.alias("value")))).getField("value").alias("last_value"),
+        F.max(v).alias("max_value"),
+    )
+    status = F.when(F.col("markers") > 1, "ambiguous").when(F.col("last_value").isNull(), "no_score").when(F.col("markers") == 0, "protocol_failure").otherwise("exact")
+    return out.select(group, "n_events", "n_positive", "n_zero", "last_value", "max_value", status.alias("status"))

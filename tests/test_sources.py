@@ -95,3 +95,16 @@ def test_streams(spark, tmp_path):
     q = counts_by_window(timed, "ts", "e").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 7
+
+
+def test_boards_and_reports(spark):
+    start = "lnsgkgsnl/1r5b1/ppppppppp/9/9/9/PPPPPPPPP/1B5R1/LNSGKGSNL"
+    rows = [(start, True), ("9/9/9/9/9/9/9/9/8+P", True), ("9/9/9/9/9/9/9/9/8+", False), ("9/9", False), ("", False), (None, None)]
+    df = spark.createDataFrame(rows, "board string, valid boolean")
+    got = df.select("valid", S.board_valid(F.col("board")).alias("v"), S.rotated_swap(F.col("board")).alias("r"), S.signed_material(F.col("board"), {"p": 1, "+p": 6}).alias("m")).collect()
+    assert [r.v for r in got] == [r.valid for r in got]
+    assert got[0].r == start and got[1].r == "+p8/9/9/9/9/9/9/9/9"
+    assert [r.m for r in got] == [0, 6, 0, 0, 0, None]
+    text = spark.createDataFrame([("V2.2\nN+ann\nN-bob\n+7776FU", "a|b", None)], "game string, x string, y int")
+    r = text.select(S.anonymised(F.col("game")).alias("g"), S.markdown_row("x", "y").alias("m")).first()
+    assert r.g == "V2.2\nN+player\nN-player\n+7776FU" and r.m == "| a\\|b |  |"
