@@ -108,6 +108,14 @@ def test_op2(spark, sf, rows, odd):
     assert line_dedup.line_dedup(odd.where("false")).count() == 0
 
 
+def test_op2_single_lines(spark, sf, rows):
+    found = result(spark, sf, "op2_line_dedup")
+    assert {i: r.text or "" for i, r in found.items()} == plain_line_dedup(rows, 1)
+    made = [(1, "one\nAll rights  reserved.\ntwo"), (2, "three\nAll rights reserved.\n\nfour"), (3, "All rights reserved.\nAll rights reserved."), (None, "four")]
+    kept = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert kept == {1: (made[0][1], 0), 2: ("three\n", 2), 3: ("", 2), None: ("four", 0)}
+
+
 def test_op3(spark, sf, rows, odd):
     groups = defaultdict(list)
     norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in rows}
