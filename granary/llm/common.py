@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -18,6 +18,8 @@ WHITE = r"[\x20\x09-\x0D]+"
 HOT_SHARE = 1 / 2000
 #: Bytes of text that are held as Python objects at once.
 BATCH_BYTES = 4 << 20
+#: The column of row numbers while rows are dropped.
+ROW = "__row"
 
 
 @cache
@@ -59,10 +61,29 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, how:
     return left.join(F.broadcast(hot), on, "inner").unionByName(rest)
 
 
-def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """docs without the rows whose id is in `dropped`; both in their own column order, rows with a null id stay."""
-    gone = dropped.select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+def number_rows(docs: DataFrame) -> DataFrame:
+    """docs with the column ROW, written once to the shared folder, so that a row keeps its number in all later joins."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def drop_rows(numbered: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of number_rows() whose number isn't in `dropped`, without the number; ids decide nothing."""
+    gone = dropped.select(F.col(ROW).alias("__gone"))
+    return numbered.join(gone, F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)
+
+
+def filter_texts(docs: DataFrame, text_col: str, test: Callable[[], Callable[[list[bytes | None]], list[bool]]], limit: int = BATCH_BYTES) -> DataFrame:
+    """docs with the rows whose text passes, the columns as they were; test() is called once a task. The decision stays with its row."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = test()
+        for batch in batches:
+            for start, texts in slices(batch.column(at), limit):
+                yield batch.slice(start, len(texts)).filter(pa.array(passes(texts), pa.bool_()))
+        pa.default_memory_pool().release_unused()  # the worker stays, idle, beside later stages
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def slices(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, list]]:

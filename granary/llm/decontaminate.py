@@ -11,15 +11,16 @@ same pass, so any number of items gives whole results in bounded memory for a ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_rows, slices
+from .common import filter_texts, slices
 
 #: Bytes of no word become spaces, A-Z become a-z, all else stays.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -93,6 +94,27 @@ def _original(text: bytes, runs: list[tuple[int, int]]) -> list[list[int]]:
     return [[before(edge[2 * a]), before(edge[2 * b - 1])] for a, b in runs]
 
 
+def _shared(items: DataFrame, item_col: str, text_col: str, window: int, max_bytes: int) -> Broadcast:
+    """The rows of patterns(), broadcast."""
+    found = patterns(items, item_col, text_col, window)
+    size = found.agg(F.sum(F.length("pattern") + 16 * F.size("ids"))).first()[0] or 0
+    if size > max_bytes:
+        raise ValueError(f"the items' windows hold {size} bytes; max_bytes is {max_bytes}: split the items and join the results")
+    rows = [(bytes(r.pattern), list(r.ids)) for r in found.sort("pattern").collect()]  # of a checked size
+    return items.sparkSession.sparkContext.broadcast(rows)
+
+
+def _automata(rows: list[tuple[bytes, list[str]]], automaton_bytes: int) -> list[ahocorasick.Automaton]:
+    automata, part, held = [], [], 0
+    for row in rows:
+        part.append(row)
+        held += len(row[0])
+        if held > automaton_bytes:
+            automata.append(_automaton(part))
+            part, held = [], 0
+    return automata + ([_automaton(part)] if part else [])
+
+
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,
@@ -111,12 +133,7 @@ def decontaminate(
     windows of several items count for each; items with a null id mark words but are not named. Repeated rows get a row each.
     The items' windows are broadcast; more than `max_bytes` of them is an error that names the size, not a cut.
     """
-    found = patterns(items, item_col, item_text_col, window)
-    size = found.agg(F.sum(F.length("pattern") + 16 * F.size("ids"))).first()[0] or 0
-    if size > max_bytes:
-        raise ValueError(f"the items' windows hold {size} bytes; max_bytes is {max_bytes}: split the items and join the results")
-    rows = [(bytes(r.pattern), list(r.ids)) for r in found.sort("pattern").collect()]  # of a checked size
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    shared = _shared(items, item_col, item_text_col, window, max_bytes)
     docs = docs.select(id_col, text_col)
     schema = docs.select(
         id_col,
@@ -126,14 +143,7 @@ def decontaminate(
     ).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, part, held = [], [], 0
-        for row in shared.value:
-            part.append(row)
-            held += len(row[0])
-            if held > automaton_bytes:
-                automata.append(_automaton(part))
-                part, held = [], 0
-        automata += [_automaton(part)] if part else []
+        automata = _automata(shared.value, automaton_bytes)
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for _, texts in slices(batch.column(1)):
@@ -150,8 +160,21 @@ def decontaminate(
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """docs without the documents in which an item's window occurs; the columns as they were."""
-    found = decontaminate(docs, items, id_col, text_col, **parameters)
-    return drop_rows(docs, found.where("contaminated").select(id_col), id_col)
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 10,
+    automaton_bytes: int = 32 << 20,
+    max_bytes: int = 1 << 30,
+) -> DataFrame:
+    """docs without the rows in which an item's window occurs; the columns as they were."""
+    shared = _shared(items, item_col, item_text_col, window, max_bytes)
+
+    def test() -> Callable[[list[bytes | None]], list[bool]]:
+        automata = _automata(shared.value, automaton_bytes)
+        return lambda texts: [not scan(t, automata)[1] for t in texts]
 
+    return filter_texts(docs, text_col, test)

@@ -14,29 +14,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, WHITE, cut, drop_rows, join_hot
+from .common import HOT_SHARE, ROW, WHITE, cut, drop_rows, join_hot, number_rows
 
 #: Stands for the missing right half of a pair.
 NONE = -1
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1024) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1024, row_col: str | None = None) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256, n_blocks, class_name.
 
     Null text is the empty text. Of equal texts the smallest id stays; null ids come last. Of repeated rows (same id,
     same text) exactly one is kept. Rows that repeat an id with another text are rows of their own (told apart by a
-    64-bit hash of the text beside the id). An empty table gives an empty result. Other columns are not read.
+    64-bit hash of the text beside the id). An empty table gives an empty result. Other columns are not read, but for
+    row_col, if given: a unique number that tells rows apart in place of the id, and comes last in the result.
     """
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, " ")
-    texts = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    texts = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), row.alias("row"))
     meta = cut(
         texts.select(
             "id",
-            F.coalesce("id", F.lit(NONE)).alias("key"),
+            (F.col("row") if row_col else F.coalesce("id", F.lit(NONE))).alias("key"),
             F.xxhash64("norm").alias("h"),
             F.sha2("norm", 256).alias("text_sha256"),
             F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block_chars), F.lit(0)).alias("blocks"),
-            F.monotonically_increasing_id().alias("row"),
+            "row",
         ).withColumn("hashes", F.transform("blocks", lambda b: F.xxhash64(b))),
         "dedup-meta",
     )
@@ -63,7 +65,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "dedup-classes",
     )
     return join_hot(rows, classes, ["n_blocks", "name"], "times", "inner").select(
-        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_blocks", F.col("name").alias("class_name")
+        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_blocks", F.col("name").alias("class_name"), *([F.col("row").alias(row_col)] if row_col else [])
     )
 
 
@@ -100,11 +102,6 @@ def _next_names(level: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class of equal texts, the columns as they were."""
-    found = cut(exact_dedup(docs, id_col, text_col).select(id_col, "kept", "keep_id", "class_name", "n_blocks"), "dedup-found")
-    if found.where(F.col("kept")).groupBy(id_col).count().where("count > 1").isEmpty() and found.where(~F.col("kept") & (F.col(id_col) == F.col("keep_id"))).isEmpty():
-        return drop_rows(docs, found.where(~F.col("kept")), id_col)
-    # Ids repeat: the text tells the rows apart.
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, " ")
-    ranked = docs.withColumn("__rank", F.row_number().over(Window.partitionBy(F.sha2(norm, 256)).orderBy(F.col(id_col).asc_nulls_last())))
-    return ranked.where("__rank = 1").drop("__rank")
+    """docs with one row of each class of equal texts, the smallest id's (null last), the columns as they were."""
+    docs = number_rows(docs)
+    return drop_rows(docs, exact_dedup(docs, id_col, text_col, row_col=ROW).where(~F.col("kept")))

@@ -13,7 +13,7 @@ block follows from them.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_rows, slices
+from .common import filter_texts, slices
 
 #: Rows of the table of hashed features; lexicon features have rows of their own after these.
 HASHED = 1 << 16
@@ -300,7 +300,19 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.3) -> DataFrame:
     """docs without texts that have no letter or whose language has a mean probability under `least`; the columns as they were."""
-    found = identify(docs, model, id_col, text_col, runs=False)
-    return drop_rows(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)), id_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def test() -> Callable[[list[bytes | None]], list[bool]]:
+        own = shared.value
+
+        def passes(texts: list[bytes | None]) -> list[bool]:
+            if not own:
+                return [False] * len(texts)
+            names, scores, _ = _predict(own, texts, False)
+            return [n != UNKNOWN and s >= least for n, s in zip(names, scores)]
+
+        return passes
+
+    return filter_texts(docs, text_col, test, 2 << 20)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, drop_rows, join_hot, slices
+from .common import ROW, cut, drop_rows, join_hot, number_rows, slices
 from .components import components
 
 #: Fingerprints of a tree, and query fingerprints of a tile, at most.
@@ -79,9 +79,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """docs with the first document of each component; the columns as they were. Needs unique ids."""
-    found = near_dedup(docs, id_col, text_col, radius)
-    return drop_rows(docs, found.where(F.col(id_col) != F.col("component_id")), id_col)
+    """docs with one row of each component, the smallest id's (null last; of equal ids the first row); the columns as they were."""
+    docs = number_rows(docs)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), ROW)
+    found = near_dedup(docs.select(key.alias("key"), text_col), "key", text_col, radius)
+    return drop_rows(docs, found.where(F.col("key")[ROW] != F.col("component_id")[ROW]).select(F.col("key")[ROW].alias(ROW)))
 
 
 def masks(n: int, radius: int) -> list[int]:

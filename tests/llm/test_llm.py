@@ -292,3 +292,24 @@ def test_pipeline_on_awkward_rows(spark, sf, odd):
             out = stage(spark, docs, sf)
             assert out.columns == docs.columns and out.count() <= docs.count(), name
         corpus_pipeline.STAGES[-1][1](spark, docs, sf).count()
+
+
+def test_pipeline_decides_by_row(spark):
+    """Rows with null and repeated ids stay or go one by one."""
+    def left(stage, rows):
+        docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").coalesce(2)
+        out = stage(docs)
+        assert out.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    model = langid.fit([("en", "the house and the garden were with the people " * 5), ("de", "der Hund und die Katze sind nicht mit dem Kind " * 5)])
+    rows = [(None, "123"), (None, "the house"), (1, "12"), (1, "the garden"), (2, None)]
+    assert left(lambda d: langid.keep_identified(d, model), rows) == sorted([(None, "the house"), (1, "the garden")], key=str)
+    rows = [(None, "a b"), (None, "a  b"), (1, "a b"), (2, "c"), (2, "d"), (3, "c"), (None, "e"), (None, "e"), (4, "f"), (4, "f")]
+    assert left(exact_dedup.drop_copies, rows) == sorted([(1, "a b"), (2, "c"), (2, "d"), (None, "e"), (4, "f")], key=str)
+    a, b, c = (" ".join(f"{x}{i * i}" for i in range(200)) for x in ("left", "right", "up"))
+    rows = [(None, a), (1, a.upper()), (1, b), (5, b.upper()), (2, c), (2, c.upper()), (None, c.title()), (None, NOTE), (None, NOTE.upper())]
+    assert left(simhash.keep_one, rows) == sorted([(1, a.upper()), (1, b), (2, c), (None, NOTE)], key=str)
+    items = spark.createDataFrame([("x", "one two three")], "item_id string, text string")
+    rows = [(None, "say One two, three now"), (None, "clean"), (1, "one two three"), (1, "clean words"), (2, None)]
+    assert left(lambda d: decontaminate.drop_contaminated(d, items), rows) == sorted([(None, "clean"), (1, "clean words"), (2, None)], key=str)
