@@ -5,7 +5,8 @@ a range of ids. A read for some ids prunes stripes and row groups by their range
 stripe by stripe in parallel.
 
 Encoding caches the ids of white-space-separated words, in lower case as the tokenizer makes them: its pieces never hold
-white space, and its normaliser does not look past it, so a text's ids are those of its words joined.
+white space, and its normaliser does not look past it, so a text's ids are those of its words joined. A text that holds an
+added token's string, such as <|endoftext|>, is encoded whole, as the library maps that string to its own id.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True  # words are lower case by then and may spell an added token
         self.bare = Tokenizer(self.tokenizer.model)  # for words that the normaliser and the splitter leave whole
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.spelled = dict(enumerate(byte_characters()))
@@ -80,11 +82,20 @@ class WordEncoder:
         raw = ids.tobytes()
         self.known.update((w, raw[a:b]) for w, a, b in zip(words, firsts, lasts, strict=True))
 
+    def _whole(self, text: bytes) -> bytes:
+        """Ids of a text by the plain library call, added tokens and all."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self._ids(self.tokenizer, text.decode()).tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [POINT.sub(rb" \g<0>", (t or b"").lower()).split() for t in texts]
+        whole = {i: self._whole(t) for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        split = [[] if i in whole else POINT.sub(rb" \g<0>", (t or b"").lower()).split() for i, t in enumerate(texts)]
         new = set().union(*split).difference(self.known)
         self.learn(new)
-        found = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        found = [whole[i] if i in whole else b"".join(map(self.known.__getitem__, words)) for i, words in enumerate(split)]
         if len(self.known) > CACHE:
             for w in new:
                 del self.known[w]

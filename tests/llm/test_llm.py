@@ -245,6 +245,15 @@ def test_op9(spark, sf, rows, odd, tmp_path):
     assert token_orc.read(spark, path + "2").count() == 0
 
 
+def test_op9_added_tokens(spark, tmp_path):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a <|endoftext|> b", "<|startoftext|>Word<|endoftext|>", "no <|ENDOFTEXT|> here, nor <|endoftext |>", "plain words", "x<|endoftext|>.\n Und Ünïcödé"]
+    path = str(tmp_path / "orc")
+    token_orc.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    found = {r.doc_id: r.ids for r in token_orc.read(spark, path).collect()}
+    assert found == {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)} and 49407 in found[0]
+
+
 def test_op10(spark, sf, rows, odd):
     kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
     ok = {"assign": lambda m: len(m[2]) >= 12, "access": lambda m: len(m[0]) >= 18, "hex": lambda m: len(m[0]) >= 16}
