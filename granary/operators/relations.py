@@ -96,7 +96,7 @@ def pick_exclusive(candidates: DataFrame, buckets: list[str], per_bucket: int, b
     """Greedy selection (bucket, id, a, b) in rank order, an entity (a or b) at most once over all buckets (TOP-02).
 
     Each choice depends on all before it, so the loop is sequential. Candidates (bucket, rank, id, a, b) must be a shortlist:
-    more than `bound` rows are an error, never cut.
+    more than `bound` rows are an error, never cut. So is a bucket that the candidates can't fill.
     """
     rows = candidates.orderBy("bucket", "rank").limit(bound + 1).collect()
     if len(rows) > bound:
@@ -109,6 +109,8 @@ def pick_exclusive(candidates: DataFrame, buckets: list[str], per_bucket: int, b
                 used |= {r.a, r.b}
                 chosen.append((bucket, r.id, r.a, r.b))
                 taken += 1
+        if taken < per_bucket:
+            raise ValueError(f"only {taken} of {per_bucket} candidates satisfy bucket {bucket}")
     return chosen
 
 

@@ -157,10 +157,11 @@ def _(spark, sf_dir):
 
 @query("top02_greedy_exclusive")
 def _(spark, sf_dir):
-    """The shortlist: the 40 best-ranked orders of each priority; an entity is a customer's nation or segment-nation pair."""
+    """The shortlist: the best-ranked order of each priority and nation; an entity is a customer's nation or the customer."""
     both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
     both = both.select(F.col("o_orderpriority").alias("bucket"), seeded_rank("pick", F.col("o_orderkey")).alias("rank"), F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("a"), F.concat(F.lit("s"), "c_custkey").alias("b"))
-    short = R.first_per_group(both.withColumnRenamed("rank", "r"), ["bucket"], [F.col("r")], 40).withColumnRenamed("rank", "place").withColumnRenamed("r", "rank")
+    # A customer has one nation, so a nation that is free has all its customers free: its best-ranked order goes before its others.
+    short = both.groupBy("bucket", "a").agg(F.min(F.struct("rank", "id", "b")).alias("best")).select("bucket", "best.rank", "best.id", "a", "best.b")
     from granary.plans.scoring import GAMES
 
     return spark.createDataFrame(R.pick_exclusive(short, GAMES, 3), "bucket string, id string, a string, b string")
