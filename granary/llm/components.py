@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot
+from .common import cut, discard, join_hot
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,8 +16,9 @@ def components(edges: DataFrame) -> DataFrame:
     ab = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
     stars, before = cut(ab.distinct(), "stars"), None
     while True:
-        stars = _star(stars, large=True)
-        stars = _star(stars, large=False)
+        for large in (True, False):
+            old, stars = stars, _star(stars, large)
+            discard(old)
         mark = stars.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if mark == before or not mark[0]:
             break
@@ -34,4 +35,6 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
     else:
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return cut(out.where("a > b").distinct(), "stars")
+    found = cut(out.where("a > b").distinct(), "stars")
+    discard(least)
+    return found

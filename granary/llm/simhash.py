@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import ROW, cut, drop_rows, join_hot, number_rows, slices
+from .common import cut, discard, drop_rows, join_hot, number_rows, slices
 from .components import components
 
 #: Fingerprints of a tree, and query fingerprints of a tile, at most.
@@ -72,25 +72,36 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fps = cut(marks.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("times")), "simhash-fps")
     roots = cut(components(links(fps.select("fp"), radius)), "simhash-roots")
     rooted = cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp"), "simhash-rooted")
+    discard(roots)
     firsts = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "simhash-firsts")
     linked = join_hot(rooted, firsts, ["root"], "members", "inner").select("fp", "component_id")
     named = cut(fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "times"), "simhash-named")
+    discard(fps, rooted, firsts)
     return join_hot(marks, named, ["fp"], "times", "inner").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """docs with one row of each component, the smallest id's (null last; of equal ids the first row); the columns as they were."""
-    docs = number_rows(docs)
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), ROW)
-    found = near_dedup(docs.select(key.alias("key"), text_col), "key", text_col, radius)
-    return drop_rows(docs, found.where(F.col("key")[ROW] != F.col("component_id")[ROW]).select(F.col("key")[ROW].alias(ROW)))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, stored: bool = False) -> DataFrame:
+    """docs with one row of each component, the smallest id's (null last; of equal ids the first row).
+
+    The columns are as they were, whatever their names. Rows with no words are one component; an empty table stays empty.
+    stored says that docs is a table as read from files (see number_rows).
+    """
+    numbered, row = number_rows(docs, stored)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = near_dedup(numbered.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", radius)
+    return drop_rows(numbered, row, found.where(F.col("key.row") != F.col("component_id.row")).select(F.col("key.row").alias(row)))
 
 
-def masks(n: int, radius: int) -> list[int]:
-    """Bit masks of the choices of parts for n fingerprints: two within the radius agree on one mask at least."""
+def to_agree(n: int, radius: int) -> int:
+    """The fewest parts that must agree so that a shard has SHARD of n evenly spread fingerprints at most; 4 at most."""
     agree = 1
     while agree < 4 and n >> (64 * agree // (radius + agree)) > SHARD:
         agree += 1
+    return agree
+
+
+def masks(agree: int, radius: int) -> list[int]:
+    """Bit masks of the choices of `agree` parts: two fingerprints within the radius agree on one mask at least."""
     parts = radius + agree
     ends = [64 * i // parts for i in range(parts + 1)]
     part = [(1 << ends[i + 1]) - (1 << ends[i]) for i in range(parts)]
@@ -101,9 +112,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fingerprints within the radius."""
-    chosen = masks(fps.count(), radius)
+def links(fps: DataFrame, radius: int = 4, tile: int = TILE, agree: int | None = None) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of distinct fingerprints within the radius, whatever tile and agree are."""
+    chosen = masks(agree or to_agree(fps.count(), radius), radius)
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in chosen])
     rows = fps.select("fp", F.posexplode(keys).alias("mask", "key"))
     large = cut(rows.groupBy("mask", "key").count().where(F.col("count") > tile).select("mask", "key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("tiles"), "count"), "simhash-large")
@@ -117,8 +128,8 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         side: Column = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
         rows = rows.select("mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "fp")
-    shard = ["mask", "key", "i", "j"]
-    rows = rows.repartition(*shard).sortWithinPartitions(*shard, "side", "fp")
+    by = ["mask", "key", "i", "j"]
+    rows = rows.repartition(*by).sortWithinPartitions(*by, "side", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, side, fp in _whole_shards(batches):
