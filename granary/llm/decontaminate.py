@@ -1,17 +1,20 @@
 """Operator 7, benchmark decontamination: one Aho-Corasick automaton over the normalised windows of all items.
 
 Words are runs of lower-cased ASCII letters, digits and all characters past ASCII. Texts are normalised byte by byte
-(translate), so offsets of the normalised words map to the original by their number. Each text is scanned once; a match
-gives a window's last byte, hence the words it covers and their places in the original text.
+(translate), so a word's number gives its offsets in the original. The automaton's letters are words: each distinct word of
+the items is one code point, every other word of a text is one more, which no pattern holds. Texts are scanned once, and a
+match gives the words it covers.
 
-The automaton is a broadcast of the items' windows. Its size is checked: windows go into automata of at most
-`automaton_bytes` bytes of patterns, and beyond the first the texts are scanned once for each; results are merged in the
-same pass, so any number of items gives whole results in bounded memory for a task.
+The automaton is a broadcast of the items' windows, and its size is checked: it holds at most PART windows, hence at most
+10 * PART nodes. More windows are dealt by hash into parts; the texts are scanned once for each part, one after the other,
+so a worker and the driver hold one part at a time, and hits are merged by row. Parts cost scans, never results.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -20,8 +23,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, slices
+from .common import cut, discard, drop_rows, filter_texts, number_rows, slices
 
+#: Windows of an automaton at most. Their words must be fewer than the code points.
+PART = 100_000
 #: Bytes of no word become spaces, A-Z become a-z, all else stays.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -50,38 +55,49 @@ def patterns(items: DataFrame, item_col: str, text_col: str, window: int) -> Dat
     return found.groupBy("pattern").agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
 
-def _automaton(rows: list[tuple[bytes, list[str]]]) -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for p, ids in rows:
-        found.add_word(f" {p.decode('latin-1')} ", (len(p) + 1, ids))
-    if rows:
-        found.make_automaton()
-    return found
+class Matcher:
+    """An automaton over (pattern, item ids) rows, whose letters are words."""
 
+    def __init__(self, rows: list[tuple[bytes, list[str]]]):
+        words = sorted(set(chain.from_iterable(p.split(b" ") for p, _ in rows)))
+        points = (c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000)
+        self.letter = {w: chr(c) for w, c in zip(words, points, strict=False)}
+        if len(self.letter) < len(words):
+            raise ValueError(f"{len(words)} words are more than there are code points")
+        self.automaton = ahocorasick.Automaton()
+        for p, ids in rows:
+            w = p.split(b" ")
+            self.automaton.add_word("".join(map(self.letter.__getitem__, w)), (len(w), ids))
+        if rows:
+            self.automaton.make_automaton()
 
-def scan(text: bytes | None, automata: list[ahocorasick.Automaton]) -> tuple[list[bytes], list[tuple[int, int]], set[str]]:
+    def hits(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
+        """(first word, last word + 1, item ids) of each occurrence."""
+        if len(self.automaton):
+            get = self.letter.get
+            for last, (n, ids) in self.automaton.iter("".join([get(w, "\0") for w in words])):
+                yield last + 1 - n, last + 1, ids
+
+
+def scan(text: bytes | None, matcher: Matcher) -> tuple[list[bytes], list[tuple[int, int]], set[str]]:
     """(words, covered runs of words as [first, last + 1), ids of the items with a window there)."""
     w = words_of(text)
-    if not w:
-        return w, [], set()
-    norm = f" {b' '.join(w).decode('latin-1')} "
     runs, ids = [], set()
-    for a in automata:
-        for end, (length, own) in a.iter(norm):
-            runs.append((end - length, end))
-            ids.update(own)
-    if not runs:
-        return w, [], set()
-    starts = np.cumsum([1] + [len(x) + 1 for x in w])  # of each word in norm, and past the end
-    firsts = np.searchsorted(starts, [a + 1 for a, _ in runs])
-    lasts = np.searchsorted(starts, [b for _, b in runs])
-    merged: list[list[int]] = []
-    for a, b in sorted(zip(firsts.tolist(), lasts.tolist())):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
+    for a, b, own in matcher.hits(w):
+        runs.append((a, b))
+        ids.update(own)
+    return w, merged(runs), ids
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs in order, those that overlap joined."""
+    out: list[list[int]] = []
+    for a, b in sorted(runs):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            merged.append([a, b])
-    return w, [(a, b) for a, b in merged], ids
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def _original(text: bytes, runs: list[tuple[int, int]]) -> list[list[int]]:
@@ -94,87 +110,104 @@ def _original(text: bytes, runs: list[tuple[int, int]]) -> list[list[int]]:
     return [[before(edge[2 * a]), before(edge[2 * b - 1])] for a, b in runs]
 
 
-def _shared(items: DataFrame, item_col: str, text_col: str, window: int, max_bytes: int) -> Broadcast:
-    """The rows of patterns(), broadcast."""
-    found = patterns(items, item_col, text_col, window)
-    size = found.agg(F.sum(F.length("pattern") + 16 * F.size("ids"))).first()[0] or 0
-    if size > max_bytes:
-        raise ValueError(f"the items' windows hold {size} bytes; max_bytes is {max_bytes}: split the items and join the results")
-    rows = [(bytes(r.pattern), list(r.ids)) for r in found.sort("pattern").collect()]  # of a checked size
-    return items.sparkSession.sparkContext.broadcast(rows)
+#: The last part's automaton, kept by a Python worker for its next tasks.
+_held: dict[str, Matcher] = {}
 
 
-def _automata(rows: list[tuple[bytes, list[str]]], automaton_bytes: int) -> list[ahocorasick.Automaton]:
-    automata, part, held = [], [], 0
-    for row in rows:
-        part.append(row)
-        held += len(row[0])
-        if held > automaton_bytes:
-            automata.append(_automaton(part))
-            part, held = [], 0
-    return automata + ([_automaton(part)] if part else [])
+def _matcher(key: str, shared: Broadcast) -> Matcher:
+    if key not in _held:
+        _held.clear()
+        _held[key] = Matcher(shared.value)
+    return _held[key]
 
 
-def decontaminate(
-    docs: DataFrame,
-    items: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    window: int = 10,
-    automaton_bytes: int = 32 << 20,
-    max_bytes: int = 1 << 30,
-) -> DataFrame:
-    """One row per row of docs: id_col, n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated, spans.
+def _parts(items: DataFrame, item_col: str, text_col: str, window: int, part: int) -> Iterator[tuple[Callable[[], Matcher], int]]:
+    """For each part of the items' windows, what gives its automaton in a task, and the number of parts; a part is collected when its turn comes."""
+    found = cut(patterns(items, item_col, text_col, window), "item-windows")
+    n = found.count()
+    parts = -(-n // part) if n <= part else -(-4 * n // (3 * part))  # dealt by hash, parts are uneven
+    parts = max(parts, 1)
+    dealt = found.withColumn("part", F.pmod(F.xxhash64("pattern"), F.lit(parts)))
+    try:
+        for k in range(parts):
+            rows = [(bytes(r.pattern), list(r.ids)) for r in dealt.where(F.col("part") == k).sort("pattern").collect()]  # about `part` rows
+            shared, key = items.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
+            yield (lambda shared=shared, key=key: _matcher(key, shared)), parts
+    finally:
+        discard(found)
 
-    A word inside any occurrence of an item's window is hit. spans holds [start, end) code point offsets in the original
-    text. Null text, empty text and text with no words have no hits; so has every document if there are no items. Equal
-    windows of several items count for each; items with a null id mark words but are not named. Repeated rows get a row each.
-    The items' windows are broadcast; more than `max_bytes` of them is an error that names the size, not a cut.
-    """
-    shared = _shared(items, item_col, item_text_col, window, max_bytes)
+
+def _hits(docs: DataFrame, id_col: str, text_col: str, matcher: Callable[[], Matcher]) -> DataFrame:
+    """(id_col, n_words, runs of words, items, spans) of every row by one part."""
     docs = docs.select(id_col, text_col)
-    schema = docs.select(
-        id_col,
-        *[F.lit(0).cast("long").alias(c) for c in ("n_words", "n_hit")],
-        F.array().cast("array<string>").alias("items"),
-        F.array().cast("array<array<int>>").alias("spans"),
-    ).schema
+    pairs = F.array().cast("array<array<int>>")
+    schema = docs.select(id_col, F.lit(0).cast("long").alias("n_words"), pairs.alias("runs"), F.array().cast("array<string>").alias("items"), pairs.alias("spans")).schema
+    types = (pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(shared.value, automaton_bytes)
+        own = matcher()
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for _, texts in slices(batch.column(1)):
                 for t in texts:
-                    w, runs, ids = scan(t, automata)
-                    for column, x in zip(out, (len(w), sum(b - a for a, b in runs), sorted(ids), _original(t, runs) if runs else [])):
+                    w, runs, ids = scan(t, own)
+                    for column, x in zip(out, (len(w), runs, sorted(ids), _original(t, runs) if runs else [])):
                         column.append(x)
-            types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, types)], names=[id_col, "n_words", "n_hit", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, types)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
-    hits = docs.mapInArrow(run, schema)
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, part: int = PART
+) -> DataFrame:
+    """One row per row of docs: id_col, n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated, spans.
+
+    A word inside any occurrence of an item's window is hit. spans holds [start, end) code point offsets in the original
+    text. Null text, empty text and text with no words have no hits; so has every document if there are no items. Equal
+    windows of several items count for each; items with a null id mark words but are not named. Repeated rows get a row each,
+    whole texts are scanned, and other columns are not read. An empty table gives an empty result.
+    """
+    found, numbered, row = [], None, ""
+    for matcher, parts in _parts(items, item_col, item_text_col, window, part):
+        if parts == 1:
+            return _summary(_hits(docs, id_col, text_col, matcher), id_col)
+        if numbered is None:
+            numbered, row = number_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+        hits = _hits(numbered, row, "text", matcher)
+        found.append(cut(hits if not found else hits.where(F.size("runs") > 0), "part-hits"))
+    hits = found[0]
+    for x in found[1:]:
+        hits = hits.unionByName(x)
+    flat = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  a list of lists for each part that hit the row
+    hits = hits.groupBy(row).agg(F.max("n_words").alias("n_words"), flat("runs").alias("runs"), F.array_sort(F.array_distinct(flat("items"))).alias("items"), flat("spans").alias("spans"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, spans = (pa.array([merged(x) for x in batch.column(k).to_pylist()], pa.list_(pa.list_(pa.int32()))) for k in (2, 4))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), runs, batch.column(3), spans], names=batch.schema.names)
+
+    hits = hits.mapInArrow(join, hits.schema)
+    return _summary(numbered.select("id", row).join(hits, row).select(F.col("id").alias(id_col), "n_words", "runs", "items", "spans"), id_col)
+
+
+def _summary(hits: DataFrame, id_col: str) -> DataFrame:
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
     return hits.select(
-        id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans"
+        id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"), "spans"
     )
 
 
-def drop_contaminated(
-    docs: DataFrame,
-    items: DataFrame,
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    window: int = 10,
-    automaton_bytes: int = 32 << 20,
-    max_bytes: int = 1 << 30,
-) -> DataFrame:
-    """docs without the rows in which an item's window occurs; the columns as they were."""
-    shared = _shared(items, item_col, item_text_col, window, max_bytes)
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, part: int = PART) -> DataFrame:
+    """docs without the rows in which an item's window occurs; the columns as they were, whatever their names.
+
+    Rows with null text stay, as do all rows if there are no items. Each row is decided by its own text; ids aren't read.
+    """
+    for matcher, _ in _parts(items, item_col, item_text_col, window, part):
 
-    def test() -> Callable[[list[bytes | None]], list[bool]]:
-        automata = _automata(shared.value, automaton_bytes)
-        return lambda texts: [not scan(t, automata)[1] for t in texts]
+        def test(matcher: Callable[[], Matcher] = matcher) -> Callable[[list[bytes | None]], list[bool]]:
+            own = matcher()
+            return lambda texts: [next(own.hits(words_of(t)), None) is None for t in texts]
 
-    return filter_texts(docs, text_col, test)
+        docs = filter_texts(docs, text_col, test)
+    return docs
