@@ -3,8 +3,8 @@
 The tokenizer is put together from a rank file: tokens by rank, and for each token of several bytes the pair that byte
 pair encoding merges last. Token ids are packed as little-endian unsigned 32-bit integers, so a document's ids are one
 binary value. Offsets follow from the tokens' byte lengths and the byte-to-character map of the text: a token that holds
-part of a character gets the whole character's offsets. Decoding looks up each id's bytes; as tokens may split characters,
-it gives bytes, and text only from the joined bytes.
+part of a character gets the whole character's offsets. Decoding spells each id in the vocabulary's characters and reverses
+the byte table; as tokens may split characters, it gives bytes, and text only from the joined bytes.
 """
 
 from __future__ import annotations
@@ -64,50 +64,70 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return found
 
 
-def token_offsets(text: bytes, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """(n, 2) code point offsets [start, end) of the characters that each token's bytes touch."""
-    ends = np.cumsum(lengths[ids])
-    starts = ends - lengths[ids]
-    character = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80) - 1  # of each byte
-    return np.stack([character[starts], character[ends - 1] + 1], axis=1).astype(np.int32) if len(ids) else np.zeros((0, 2), np.int32)
+def token_bytes(path: str, pattern: str) -> list[bytes | None]:
+    """The bytes of each id: its spelling in the vocabulary, with the byte table reversed; None for an id that has no token."""
+    byte_of = {ord(c): b for b, c in enumerate(byte_characters())}
+    spelled = tokenizer(path, pattern).get_vocab()
+    found: list[bytes | None] = [None] * (max(spelled.values()) + 1)
+    for token, i in spelled.items():
+        found[i] = token.translate(byte_of).encode("latin-1")
+    return found
+
+
+def token_offsets(text: bytes, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code point offsets (starts, ends) of the characters that each token's bytes touch."""
+    if not len(ids):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    size = lengths[ids]
+    ends = np.cumsum(size)
+    if text.isascii():
+        return (ends - size).astype(np.int32), ends.astype(np.int32)
+    character = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80, dtype=np.int32) - 1  # of each byte
+    return character[ends - size], character[ends - 1] + 1
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN, offsets: bool = False) -> DataFrame:
-    """(id_col, ids binary, n_tokens[, offsets array of [start, end)]) of every row.
+    """(id_col, ids binary, n_tokens, n_split[, offsets array of [start, end)]) of every row.
 
-    ids are little-endian unsigned 32-bit integers. Null text is the empty text and has no tokens. No special tokens are
-    known: their strings are ordinary text. Repeated rows get a row each; an empty table gives an empty result. Whole
-    texts are encoded, in calls of a few MB.
+    ids are little-endian unsigned 32-bit integers. n_split counts tokens that hold a part of a character: by the offsets,
+    those that begin in the character in which the token before ends. Null text is the empty text and has no tokens. No
+    special tokens are known: their strings are ordinary text. Repeated rows get a row each; other columns are not read; an
+    empty table gives an empty result. Whole texts are encoded, in calls of some PART bytes or one text.
     """
     path = rank_file or public_tokenizers.path(RANKS)
     docs = docs.select(id_col, text_col)
     extra = [F.array().cast("array<array<int>>").alias("offsets")] if offsets else []
-    schema = docs.select(id_col, F.lit(b"").alias("ids"), F.lit(0).cast("long").alias("n_tokens"), *extra).schema
+    schema = docs.select(id_col, F.lit(b"").alias("ids"), *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_split")], *extra).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
-        lengths = np.zeros(max(ranks(path).values()) + 1, np.int64)
-        lengths[list(ranks(path).values())] = [len(x) for x in ranks(path)]
+        lengths = np.array([len(x or b"") for x in token_bytes(path, pattern)], np.int32)
         for batch in batches:
             for start, texts in slices(batch.column(1), PART):
                 found = [np.array(e.ids, "<u4") for e in t.encode_batch_fast([(x or b"").decode() for x in texts], add_special_tokens=False)]
-                columns = [batch.column(0).slice(start, len(texts)), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())]
+                places = [token_offsets(x or b"", i, lengths) for x, i in zip(texts, found)]
+                split = [int(np.count_nonzero(a[1:] < b[:-1])) for a, b in places]
+                columns = [batch.column(0).slice(start, len(texts)), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64()), pa.array(split, pa.int64())]
                 if offsets:
-                    columns.append(pa.array([token_offsets(x or b"", i, lengths).tolist() for x, i in zip(texts, found)], pa.list_(pa.list_(pa.int32()))))
+                    columns.append(pa.array([np.stack(x, axis=1).tolist() for x in places], pa.list_(pa.list_(pa.int32()))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, ids_col: str = "ids", rank_file: str | None = None) -> DataFrame:
-    """`encoded` with a binary column `decoded`: the bytes of its packed ids. Null ids decode to no bytes; an unknown id is an error."""
+def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """`encoded` with a binary column out_col, in place of one of that name: the bytes of its packed ids.
+
+    Null ids decode to no bytes; an unknown id is an error. Bytes are text only as a whole: a token may end within a character.
+    """
     path = rank_file or public_tokenizers.path(RANKS)
-    schema = encoded.withColumn("decoded", F.lit(b"")).schema
+    encoded = encoded.drop(out_col)
+    at = encoded.columns.index(ids_col)
+    schema = encoded.withColumn(out_col, F.lit(b"")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {r: t for t, r in ranks(path).items()}
+        known = token_bytes(path, pattern)
         for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
             for start, packed in slices(batch.column(at), BATCH_BYTES):
                 texts = [b"".join(map(known.__getitem__, np.frombuffer(p or b"", "<u4").tolist())) for p in packed]
                 part = batch.slice(start, len(packed))
@@ -117,6 +137,6 @@ def decode(encoded: DataFrame, ids_col: str = "ids", rank_file: str | None = Non
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256) after encoding and decoding every row."""
+    """(id_col, n_tokens, n_split, ids_sha256, decoded_sha256) after encoding and decoding every row."""
     found = decode(encode(docs, id_col, text_col))
-    return found.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select(id_col, "n_tokens", "n_split", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

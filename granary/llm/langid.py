@@ -29,7 +29,7 @@ HASHED = 1 << 16
 #: Words in a block of forward-backward.
 BLOCK = 32
 #: Words whose scores a Python worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 UNKNOWN = "und"
 #: Bytes of words (ASCII letters in lower case, all bytes past ASCII); others become spaces.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -75,8 +75,10 @@ class Model:
     step: np.ndarray  # (langs, langs), log
     start: np.ndarray  # (langs,), log
     lexicon: dict[str, list[int]]
+    seen: np.ndarray  # (HASHED,), whether the sample has the feature
+    familiar: float  # the least share of seen features in a text of a learned language
     known: dict[bytes, int] = field(default_factory=dict)
-    scores: np.ndarray | None = None
+    scores: np.ndarray | None = None  # log scores of known words, and last the share of their features that are seen
 
     def all_features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         f, w = features(words)
@@ -86,16 +88,19 @@ class Model:
         return f, w
 
     def emissions(self, words: list[str]) -> np.ndarray:
+        """Log scores of words for each language, and last the share of their features that the sample has."""
         f, w = self.all_features(words)
-        return np.stack([np.bincount(w, self.weight[f, k], len(words)) for k in range(len(self.langs))], axis=1)
+        own = f < HASHED
+        share = np.bincount(w[own], self.seen[f[own]], len(words)) / np.maximum(np.bincount(w[own], minlength=len(words)), 1)
+        return np.stack([*[np.bincount(w, self.weight[f, k], len(words)) for k in range(len(self.langs))], share], axis=1)
 
     def score_words(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of words with letters in each text, log scores of those words)."""
+        """(number of words with letters in each text, emissions of those words)."""
         new = list(set().union(*texts).difference(self.known))
         spelled = [letters(w) for w in new]
         real = [i for i, s in enumerate(spelled) if s]
         first = 0 if self.scores is None else len(self.scores)
-        fresh = self.emissions([spelled[i] for i in real]) if real else np.zeros((0, len(self.langs)))
+        fresh = self.emissions([spelled[i] for i in real]) if real else np.zeros((0, len(self.langs) + 1))
         table = fresh if self.scores is None else np.concatenate([self.scores, fresh])
         self.known.update((w, -1) for w, s in zip(new, spelled) if not s)
         self.known.update((new[i], first + k) for k, i in enumerate(real))
@@ -176,7 +181,8 @@ def fit(rows: list[tuple[str, str]], words_per_lexicon: int = 200, length: int =
         for w, _ in sorted(common, key=lambda x: (-x[1], x[0]))[:words_per_lexicon]:
             lexicon.setdefault(w, []).append(k)
     size = len(langs)
-    model = Model(langs, np.zeros((HASHED + size, size)), np.zeros((size, size)), np.zeros(size), lexicon)
+    seen, familiar = familiarity([t for lang in langs for t in texts[lang]])
+    model = Model(langs, np.zeros((HASHED + size, size)), np.zeros((size, size)), np.zeros(size), lexicon, seen, familiar)
     squares = [np.full_like(x, 1e-2) for x in (model.weight, model.step, model.start)]
     for _ in range(rounds):
         words, labels = [], []
@@ -212,6 +218,25 @@ def fit(rows: list[tuple[str, str]], words_per_lexicon: int = 200, length: int =
     return model
 
 
+def familiarity(texts: list[list[str]]) -> tuple[np.ndarray, float]:
+    """(the features that the texts have, the least share of them that a text of a learned language should have).
+
+    Features of half of the texts are looked for in the others, whose lowest hundredth is what known languages reach; text
+    unlike them reaches the share of features that are seen at all. The bound is halfway between, so it does not depend on
+    how many languages there are.
+    """
+    def has(some: list[list[str]]) -> np.ndarray:
+        found = np.zeros(HASHED, bool)
+        if some:
+            found[features(list({w for t in some for w in t}))[0]] = True
+        return found
+
+    half, rest = has(texts[::2]), texts[1::2] or texts
+    shares = [half[features(t)[0]].mean() for t in rest]
+    seen = has(texts)
+    return seen, float(np.quantile(shares, 0.01) + seen.mean()) / 2
+
+
 def _pair_sums(scores: np.ndarray, p: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Expected counts of neighbouring labels. A chain's pair probability is the first's marginal times the step to the second given it."""
     size = scores.shape[2]
@@ -227,25 +252,26 @@ def _pair_sums(scores: np.ndarray, p: np.ndarray, step: np.ndarray) -> np.ndarra
     return sums
 
 
-def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, chars_per_doc: int) -> list[tuple[str, str]]:
-    """About docs_per_lang rows of each language, chosen by a hash of the id, of each a passage of chars_per_doc characters."""
+def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, chars_per_doc: int, langs: int) -> list[tuple[str, str]]:
+    """About docs_per_lang rows of each of the `langs` most frequent languages, chosen by a hash of id and text, of each a passage of chars_per_doc characters."""
     labelled = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # a row for each language
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(langs).collect()}
     if not counts:
         return []
-    h = F.xxhash64(F.col(id_col), F.lit(1))
+    h = F.xxhash64(F.col(id_col), F.col(text_col))
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col(lang_col) == lang, int(min(1.0, docs_per_lang / n) * (1 << 20))).otherwise(share)
     last = F.greatest(F.length(text_col) - chars_per_doc, F.lit(0)) + 1
     passage = F.substring(F.col(text_col), (F.pmod(h, last) + 1).cast("int"), F.lit(chars_per_doc))
-    rows = labelled.where(F.pmod(h, F.lit(1 << 20)) < share).select(lang_col, passage.alias("passage"))
-    return [(r[0], r[1]) for r in rows.limit(2 * docs_per_lang * len(counts)).collect()]
+    rows = labelled.where(F.pmod(h, F.lit(1 << 20)) < share).select(F.col(lang_col).alias("lang"), passage.alias("passage"), h.alias("h"))
+    # Repeated rows share a hash and may come all or none: the bound holds for them too, and the order makes it the same rows each time.
+    return [(r.lang, r.passage) for r in rows.orderBy("h", "lang", "passage").limit(2 * docs_per_lang * len(counts)).collect()]
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 400, chars_per_doc: int = 3000) -> Model | None:
-    """A model from a bounded sample of labelled rows; null labels and texts are left out."""
-    return fit(sample(labelled, id_col, text_col, lang_col, docs_per_lang, chars_per_doc))
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 400, chars_per_doc: int = 3000, langs: int = 200) -> Model | None:
+    """A model from a bounded sample of labelled rows, of the `langs` most frequent labels; null labels and texts are left out."""
+    return fit(sample(labelled, id_col, text_col, lang_col, docs_per_lang, chars_per_doc, langs))
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", runs: bool = True) -> DataFrame:
@@ -254,7 +280,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     A word is a run of ASCII letters and characters past ASCII that holds a letter. lang_pred has the largest mean
     probability, score; equal means go to the first language in sorted order. runs are (lang, first, last) of word numbers
     with one likeliest language. Null texts and texts with no letter get `und`, score 0 and no runs, as do all rows where
-    there is no model. Repeated rows get a row each; an empty table gives an empty result.
+    there is no model. Whole texts are read, in blocks of words. Repeated rows get a row each; other columns are not read;
+    an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select(id_col, text_col)
@@ -265,24 +292,26 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for begin, texts in slices(batch.column(1), 2 << 20):
+            for begin, texts in slices(batch.column(1), 1 << 20):
                 ids = batch.column(0).slice(begin, len(texts))
                 found = _predict(own, texts, runs) if own else [[UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts), [[]] * len(texts)]
                 types = (pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, t) for x, t in zip(found, types)][: 3 + runs]], names=schema.names)
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, t) for x, t in zip(found[: 3 + runs], types)]], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def _predict(model: Model, texts: list[bytes | None], runs: bool) -> list[list]:
+    """Columns of identify() for texts, and last the mean share of their words' features that the sample has."""
     counts, scores = model.score_words([words_of(t) for t in texts])
-    p = marginals(counts, scores, model.step, model.start)
+    p = marginals(counts, scores[:, :-1], model.step, model.start)
     text = np.repeat(np.arange(len(texts)), counts)
     mean = np.stack([np.bincount(text, p[:, k], len(texts)) for k in range(len(model.langs))], axis=1) / np.maximum(counts, 1)[:, None]
     best = mean.argmax(axis=1)
     names = [model.langs[k] if n else UNKNOWN for k, n in zip(best.tolist(), counts.tolist())]
     score = np.where(counts > 0, np.minimum(mean.max(axis=1), 1.0), 0.0)
     found: list[list] = [names, score.tolist(), counts.tolist()]
+    share = np.bincount(text, scores[:, -1], len(texts)) / np.maximum(counts, 1)
     if runs:
         label = p.argmax(axis=1)
         cuts = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (text[1:] != text[:-1])])) if len(label) else np.zeros(0, np.int64)
@@ -292,7 +321,7 @@ def _predict(model: Model, texts: list[bytes | None], runs: bool) -> list[list]:
         for k, d, a, b in zip(label[cuts].tolist(), text[cuts].tolist(), (cuts - base[text[cuts]]).tolist(), (ends - 1 - base[text[cuts]]).tolist()):
             lists[d].append({"lang": model.langs[k], "first": a, "last": b})
         found.append(lists)
-    return found
+    return [*found, share.tolist()]
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -300,8 +329,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """docs without texts that have no letter or whose language has a mean probability under `least`; the columns as they were."""
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs without texts that have no letter or are unlike all learned languages; the columns as they were, whatever their names.
+
+    A text is unlike them if fewer of its words' n-grams and affixes than the model's bound occur in the sample: text in
+    another script, or in a language of other letter sequences. Each row is decided by its own text. Without a model no
+    text is identified, and none stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def test() -> Callable[[list[bytes | None]], list[bool]]:
@@ -310,9 +344,9 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
         def passes(texts: list[bytes | None]) -> list[bool]:
             if not own:
                 return [False] * len(texts)
-            names, scores, _ = _predict(own, texts, False)
-            return [n != UNKNOWN and s >= least for n, s in zip(names, scores)]
+            names, *_, share = _predict(own, texts, False)
+            return [n != UNKNOWN and x >= own.familiar for n, x in zip(names, share)]
 
         return passes
 
-    return filter_texts(docs, text_col, test, 2 << 20)
+    return filter_texts(docs, text_col, test, 1 << 20)
