@@ -22,7 +22,8 @@ def seeded_rank(seed: str, *parts: Column) -> Column:
 
 
 def user_key(identity: Column) -> Column:
-    return F.sha2(F.lower(identity.cast("string")), 256)
+    """The SHA-256 of an id in folded case (FN-28): upper and lower case in turn, and the sharp s, which Spark leaves, as ss."""
+    return F.sha2(F.replace(F.lower(F.upper(identity.cast("string"))), F.lit("ß"), F.lit("ss")), 256)
 
 
 def position_key(text: Column, fields: int = 3) -> Column:
@@ -98,19 +99,19 @@ def forbidden(text: Column) -> Column:
 
 
 def canonical_json(*columns: Column | str) -> Column:
-    """JSON of the columns in the order given, nulls kept (SNK-03)."""
+    """JSON of the columns in the order given, nulls kept (SNK-03); canonical JSON has them sorted by name (FN-20)."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
 def board_valid(board: Column, ranks: int = 9, files: int = 9) -> Column:
-    """Whether a board text has `ranks` parts of `files` squares; digits are runs of empty squares, + marks the next piece (FN-14)."""
+    """Whether a board text has `ranks` parts of `files` squares; digits are runs of empty squares, + marks the next piece (whole sentences: boards.sentence_valid)."""
     squares = lambda part: F.length(F.regexp_replace(part, "[+0-9]", "")) + F.aggregate(F.regexp_extract_all(part, F.lit("[0-9]"), F.lit(0)), F.lit(0), lambda n, d: n + d.cast("int"))
     parts = F.split(board, "/")
     return (F.size(parts) == ranks) & F.forall(parts, lambda p: (squares(p) == files) & p.rlike(r"^(?:[1-9]|\+?[A-Za-z])+$"))
 
 
 def signed_material(board: Column, values: dict[str, int]) -> Column:
-    """Values of upper-case pieces less those of lower-case ones; a promoted piece is given as +x (FN-15, FN-16).
+    """Values of upper-case pieces less those of lower-case ones; a promoted piece is given as +x (FN-16; with hands: boards.material).
 
     The count of a plain piece includes promoted ones unless `values` has +x, which then counts apart.
     """

@@ -50,7 +50,7 @@ def accuracy_curve(rows: DataFrame, group: str, error: str, thresholds: list[int
 
 
 def regression_metrics(rows: DataFrame, group: str, truth: str, predicted: str) -> DataFrame:
-    """MAE, RMSE, bias, moments and Pearson's r, null where a side is constant (AGG-18, AGG-20, AGG-35)."""
+    """MAE, RMSE, bias, moments and Pearson's r, null where a side is constant (AGG-18, AGG-20)."""
     e = F.col(predicted) - F.col(truth)
     out = rows.groupBy(group).agg(
         F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.stddev_pop(predicted).alias("spread"), F.covar_pop(truth, predicted).alias("cov"), F.stddev_pop(truth).alias("truth_spread")
@@ -60,7 +60,7 @@ def regression_metrics(rows: DataFrame, group: str, truth: str, predicted: str)
 
 
 def calibration(rows: DataFrame, probability: str, actual: str, buckets: int = 10) -> DataFrame:
-    """Sums of predicted and actual values in equal bins of the predicted probability (AGG-16, AGG-17)."""
+    """Sums of predicted and actual values in equal bins of the predicted probability (AGG-17)."""
     b = F.least(F.floor(F.col(probability) * buckets), F.lit(buckets - 1)).cast("int")
     return rows.groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum(probability), 4).alias("predicted"), F.sum(actual).alias("actual"))
 
@@ -81,7 +81,7 @@ def sufficient_statistics(rows: DataFrame, features: list[str], target: str) ->
 
 
 def gram(vectors: DataFrame, column: str, scale: int = 1000) -> DataFrame:
-    """Exact integer Gram matrix of scaled, rounded vectors as (i, j, s): numpy per batch, then sums (AGG-28, NUM-01).
+    """Exact integer Gram matrix of scaled, rounded vectors as (i, j, s): numpy per batch, then sums (AGG-28).
 
     A batch yields one row per pair of dimensions, so the shuffle has tasks x dimensions^2 rows whatever the number of vectors.
     """
@@ -120,3 +120,78 @@ def wrapping_fingerprint(rows: DataFrame, group: str, columns: list[str]) -> Dat
     h = F.conv(F.substring(F.sha2(F.concat_ws(":", *columns), 256), 1, 16), 16, 10).cast("decimal(28,0)")
     wrapped = F.sum(h) % F.lit("18446744073709551616").cast("decimal(38,0)")
     return rows.groupBy(group).agg(F.count("*").alias("n"), wrapped.cast("decimal(20,0)").cast("string").alias("fingerprint"))
+
+
+def exact_mean_of_means(groups: DataFrame, total: str, n: str) -> DataFrame:
+    """(numerator, denominator) of the mean of group means, exact (AGG-03): a group's mean is total / n, and groups are few.
+
+    The denominator is the product of all n times their number, as decimals of 38 digits; beyond that it is an error.
+    """
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    rows = groups.agg(F.collect_list(F.struct(wide(total).alias("s"), wide(n).alias("n"))).alias("g"))
+    exact = lambda c: c.cast("decimal(38,0)")
+    product = F.aggregate("g", F.lit(1).cast("decimal(38,0)"), lambda a, x: exact(a * x["n"]))
+    rows = rows.withColumn("den", product)
+    top = F.aggregate("g", F.lit(0).cast("decimal(38,0)"), lambda a, x: exact(a + exact(x["s"] * exact(F.floor(F.col("den") / x["n"])))))
+    return rows.select(top.cast("string").alias("numerator"), exact(F.col("den") * F.size("g")).cast("string").alias("denominator"))
+
+
+def accumulated(rows: DataFrame, group: list[str], value: str, bucket: Column, buckets: int) -> DataFrame:
+    """One mergeable accumulator a group: n, total, squares, least, most, counts by bucket (AGG-16)."""
+    v = F.col(value)
+    counts = F.array(*[F.count_if(bucket == b) for b in range(buckets)])
+    return rows.groupBy(*group).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"), F.min(v).alias("least"), F.max(v).alias("most"), counts.alias("buckets"))
+
+
+def merged(accumulators: DataFrame, buckets: int, group: list[str] | None = None) -> DataFrame:
+    """The sum of accumulators; of none it is the empty one, with null extremes (AGG-15, AGG-16)."""
+    zero = F.lit(0).cast("long")
+    counts = F.array(*[F.coalesce(F.sum(F.col("buckets")[b]), zero) for b in range(buckets)])
+    return accumulators.groupBy(*(group or [])).agg(
+        F.coalesce(F.sum("n"), zero).alias("n"), F.coalesce(F.sum("total"), zero).alias("total"), F.coalesce(F.sum("squares"), zero).alias("squares"), F.min("least").alias("least"), F.max("most").alias("most"), counts.alias("buckets")
+    )
+
+
+def diagnostics(rows: DataFrame, group: str, value: str, other: str, full: float) -> DataFrame:
+    """Training diagnostics of a group's values (AGG-35): moments, shares of zeros (dead) and of values at `full` or more (saturated), quantiles, Pearson's r with another column, null where a side is constant."""
+    v, w = F.col(value), F.col(other)
+    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
+    out = rows.groupBy(group).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("spread"), F.avg((v == 0).cast("int")).alias("dead"), F.avg((v >= full).cast("int")).alias("saturated"), p.alias("p"), F.covar_pop(value, other).alias("cov"), F.stddev_pop(w).alias("o")
+    )
+    r = F.try_divide("cov", F.col("spread") * F.col("o"))
+    return out.select(group, "n", *[F.round(c, 6).alias(c) for c in ("mean", "spread", "dead", "saturated")], *[F.round(F.col("p")[i], 6).alias(k) for i, k in enumerate(("p50", "p95"))], F.round(r, 6).alias("pearson"))
+
+
+def paired_design(rows: DataFrame, us: list[str], them: list[str], teacher: str, material: str) -> DataFrame:
+    """rows with z0, z1, ...: half the difference of each pair of features, and d: teacher less material (NUM-01).
+
+    A row is valid if all differences are even; of others z and d are null, so they enter no sum.
+    """
+    difference = [F.col(a) - F.col(b) for a, b in zip(us, them, strict=True)]
+    valid = F.lit(True)
+    for x in difference:
+        valid = valid & (x % 2 == 0)
+    valid = F.coalesce(valid, F.lit(False))
+    halves = {f"z{i}": F.when(valid, (x / 2).cast("long")) for i, x in enumerate(difference)}
+    return rows.withColumns({"valid": valid, "d": F.when(valid, F.col(teacher) - F.col(material))} | halves)
+
+
+def forward(vectors: DataFrame, id_col: str, column: str, hidden: list[list[float]], bias: list[float], out: list[float], out_bias: float, clip: float) -> DataFrame:
+    """(id, output) of a layer clipped to [0, clip] and a linear output, numpy by batches (FN-27). Weights are of fixed size; a null vector gives null."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        w, b, v = np.array(hidden).T, np.array(bias), np.array(out)
+        for batch in batches:
+            found = np.full(batch.num_rows, np.nan)
+            there = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            if there.any():
+                x = np.stack([np.asarray(r, np.float64)[: len(w)] for r in batch.column(1).drop_null().to_pylist()])
+                found[there] = np.clip(x @ w + b, 0, clip) @ v + out_bias
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, mask=~there)], names=[id_col, "output"])
+
+    rows = vectors.select(id_col, column)
+    return rows.mapInArrow(run, rows.select(id_col, F.lit(0.0).alias("output")).schema)

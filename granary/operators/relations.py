@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.session import checkpointed
+
 
 def reconcile(expected: DataFrame, observed: DataFrame, key: list[str]) -> DataFrame:
     """(key, n_expected, n_observed, verdict): ok, missing, extra or duplicate (JON-08, DQ-03, DQ-09, DQ-21).
@@ -38,7 +40,7 @@ def first_per_group(rows: DataFrame, group: list[str], order: list[Column], cap:
 
 
 def mismatches(left: DataFrame, right: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """(column, n_mismatch) over the union of keys, null-safe (JON-14, DQ-08, DQ-13, DQ-14, DQ-20, SET-03)."""
+    """(column, n_mismatch) over the union of keys, null-safe (JON-14, DQ-08, DQ-13, DQ-14)."""
     a = left.select(*key, F.lit(True).alias("__l"), *[F.col(c).alias(f"__l_{c}") for c in columns])
     b = right.select(*key, F.lit(True).alias("__r"), *[F.col(c).alias(f"__r_{c}") for c in columns])
     both = a.join(b, key, "full")
@@ -148,3 +150,91 @@ def observations(events: DataFrame, group: str, order: list[str], value: str, ma
     )
     status = F.when(F.col("markers") > 1, "ambiguous").when(F.col("last_value").isNull(), "no_score").when(F.col("markers") == 0, "protocol_failure").otherwise("exact")
     return out.select(group, "n_events", "n_positive", "n_zero", "last_value", "max_value", status.alias("status"))
+
+
+def looks_like_bot(identity: Column, name: Column, avatar: Column) -> Column:
+    """An id or a name that begins with a colon, or an avatar that begins with bot_ in any case (FLT-06); nulls are empty."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return text(identity).startswith(":") | text(name).startswith(":") | F.lower(text(avatar)).startswith("bot_")
+
+
+def rated(games: DataFrame, ratings: list[str], least: float) -> DataFrame:
+    """Games whose ratings are all there and at least `least`; all games if that is 0 or less (FLT-13)."""
+    if least <= 0:
+        return games
+    return games.where(F.forall(F.array(*ratings), lambda r: F.coalesce(r >= least, F.lit(False))))
+
+
+def sampled_plies(rows: DataFrame, ply: str, first: int, every: int, loud: Column) -> DataFrame:
+    """Every `every`-th ply from `first` on that isn't loud, that is, in check or a capture (FLT-03, FLT-13)."""
+    return rows.where((F.col(ply) >= first) & (F.col(ply) % every == 0) & ~F.coalesce(loud, F.lit(False)))
+
+
+def compact(game: Column, fields: list[str], players: str, player_fields: list[str]) -> Column:
+    """A nested record as JSON with the named fields of the game and its players only; a field that is null is left out (FLT-17)."""
+    inner = F.transform(game[players], lambda p: F.struct(*[p[f].alias(f) for f in player_fields]))
+    return F.to_json(F.struct(*[game[f].alias(f) for f in fields], inner.alias(players)))
+
+
+def same_but(left: Column, right: Column, ignored: list[str]) -> Column:
+    """Whether two maps are equal but for the ignored keys (FLT-18)."""
+    entries = lambda m: F.array_sort(F.map_entries(F.map_filter(m, lambda k, _: ~k.isin(ignored))))
+    return entries(left) == entries(right)
+
+
+def union_exact(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """The union of two maps; a key with two values is an error that names it (SET-03). Null is a value."""
+    both = left.select(key, value).unionByName(right.select(key, value))
+    one = both.groupBy(key).agg(F.min(value).alias("__a"), F.max(value).alias("__b"), (F.count(value) < F.count("*")).alias("__null"))
+    clash = (F.col("__a") != F.col("__b")) | (F.col("__null") & F.col("__a").isNotNull())
+    error = F.raise_error(F.concat(F.lit("conflicting values of key "), F.col(key).cast("string"))).cast(left.schema[value].dataType)
+    return one.select(key, F.when(F.coalesce(clash, F.lit(False)), error).otherwise(F.col("__a")).alias(value))
+
+
+def strictly_equal(left: Column, right: Column) -> Column:
+    """Whether two JSON texts hold the same value with the same types: true is not 1, 1 is not 1.0; the order of keys is free, of lists it is not (DQ-20)."""
+    def canonical(texts):
+        import json
+
+        return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True))
+
+    udf = F.pandas_udf(canonical, "string")
+    return udf(left) == udf(right)
+
+
+def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that one side has more often than the other, once for each time; none if the bags are equal (DQ-09)."""
+    return left.exceptAll(right).unionByName(right.exceptAll(left))
+
+
+def ordered_exclusion(rows: DataFrame, sets: dict[str, tuple[DataFrame, str]], kept: str) -> DataFrame:
+    """rows with `reason`: the first of the sets, in order, that holds the row's value of the set's column, else `kept` (FLT-09).
+
+    Each set is made distinct first, so no row multiplies; a null value is in no set.
+    """
+    for i, (members, column) in enumerate(sets.values()):
+        rows = rows.join(members.select(F.col(column).alias(f"__v{i}")).distinct(), F.col(column) == F.col(f"__v{i}"), "left")
+    reason = first_reason([(name, F.col(f"__v{i}").isNotNull()) for i, name in enumerate(sets)], kept)
+    return rows.withColumn("reason", reason).drop(*[f"__v{i}" for i in range(len(sets))])
+
+
+def frontier(shares: DataFrame, start: DataFrame, target: int | None = None) -> DataFrame:
+    """(member, distance) by breadth-first search over shares (place, member) from start (member), until nothing new or `target` members (STR-07).
+
+    A round is two joins through the places of the newest members, never all pairs; only the newest are joined, and each
+    round is checkpointed in the shared folder. The last round is whole, so more than `target` may be found.
+    """
+    lines = shares.distinct()
+    newest = checkpointed(start.select("member").distinct().withColumn("distance", F.lit(0)))
+    known, total = newest, newest.count()
+    for distance in range(1, 1 << 31):
+        places = lines.join(newest.select("member"), "member", "left_semi").select("place").distinct()
+        reached = lines.join(places, "place", "left_semi").select("member").distinct()
+        newest = checkpointed(reached.join(known.select("member"), "member", "left_anti").withColumn("distance", F.lit(distance)))
+        n = newest.count()
+        if not n:
+            break
+        known, total = checkpointed(known.unionByName(newest)), total + n
+        if target and total >= target:
+            break
+    return known

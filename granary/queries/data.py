@@ -244,7 +244,7 @@ def _(spark, sf_dir):
 @query("snk09_new_content", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en' AND text IS NOT NULL)")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "lang", F.sha2("text", 256).alias("content"))
-    return docs.join(docs.where("lang = 'en'").select("content"), "content", "left_anti").select("doc_id")
+    return docs.join(docs.where("lang = 'en'").select("content").distinct(), "content", "left_anti").select("doc_id")
 
 
 @query("snk12_opening_book", "WITH p AS (SELECT l_orderkey, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS moves FROM lineitem GROUP BY 1) SELECT substr(moves, 1, k) AS prefix, substr(moves, k + 1, 1) AS move, count(*) AS n FROM p, range(0, 3) t(k) WHERE length(moves) > k GROUP BY 1, 2 HAVING count(*) >= 5")

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The standard board of the game notation.
+BOARD = [
+    "P1-KY-KE-GI-KI-OU-KI-GI-KE-KY", "P2 * -HI *  *  *  *  * -KA * ", "P3-FU-FU-FU-FU-FU-FU-FU-FU-FU", "P4 *  *  *  *  *  *  *  *  * ", "P5 *  *  *  *  *  *  *  *  * ",
+    "P6 *  *  *  *  *  *  *  *  * ", "P7+FU+FU+FU+FU+FU+FU+FU+FU+FU", "P8 * +KA *  *  *  *  * +HI * ", "P9+KY+KE+GI+KI+OU+KI+GI+KE+KY",
+]
+
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines of a fixed schema; a value of another type is an error (SRC-06)."""
@@ -17,12 +23,12 @@ def catalogue(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def strict_json(text: Column, schema: str) -> Column:
-    """A struct from a JSON text; duplicate keys and malformed texts give null (SRC-07, SRC-10)."""
+    """A struct from a JSON text; duplicate keys and malformed texts give null (SRC-07)."""
     return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema))
 
 
 def verified_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """(name, bytes, sha256, verdict) of manifest rows against the files at path: ok, missing, extra or changed (SRC-03, AGG-34, SNK-04)."""
+    """(name, bytes, sha256, verdict) of manifest rows against the files at path: ok, missing, extra or changed (SRC-03)."""
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("found_bytes"), F.sha2("content", 256).alias("found_sha"))
     both = manifest.join(files, "name", "full")
     verdict = F.when(F.col("found_sha").isNull(), "missing").when(F.col("sha256").isNull(), "extra").when((F.col("found_sha") == F.col("sha256")) & (F.col("found_bytes") == F.col("bytes")), "ok").otherwise("changed")
@@ -30,19 +36,24 @@ def verified_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
 
 
 def games(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, moves, plies, canonical_sha256, valid) of game texts: header lines, a turn line `+`, then moves (SRC-04, WIN-08).
+    """(id, moves, plies, canonical_sha256, valid) of game texts: two names, the standard board, a turn line `+`, moves (SRC-04, WIN-08).
 
-    A move is a sign, four digits and two capitals; the sides alternate from +; a text with no move or another line after
-    the turn line isn't valid. Null texts aren't valid and have no moves.
+    The board is `PI`, once, or its nine lines. A move is a sign, four digits and two capitals; the sides alternate from +. A
+    text isn't valid without exactly one name a side, with another board or turn line, a malformed move, no move, or a NUL.
+    Other lines count for nothing. The canonical text is the board's lines, the turn line and the moves, each with a line
+    feed. Null texts aren't valid and have no moves.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("'"))
-    at = F.array_position(lines, F.lit("+")).cast("int")
-    rows = texts.select(F.col(id_col).alias("id"), lines.alias("lines"), at.alias("at"))
-    body = F.when(F.col("at") > 0, F.slice("lines", F.col("at") + 1, F.greatest(F.size("lines") - F.col("at"), F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("body", F.filter(body, lambda x: ~x.startswith("%") & ~x.startswith("T")))
-    well_formed = F.forall("body", lambda x: x.rlike(r"^[+-]\d{4}[A-Z]{2}$"))
-    alternates = F.forall(F.transform("body", lambda x, i: F.substring(x, 1, 1) == F.when(i % 2 == 0, "+").otherwise("-")), lambda ok: ok)
-    return rows.select("id", F.col("body").alias("moves"), F.size("body").alias("plies"), F.sha2(F.array_join("body", "\n"), 256).alias("canonical_sha256"), ((F.size("body") > 0) & well_formed & alternates).alias("valid"))
+    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\r\n|\r|\n"), lambda x: x != "")
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lines.alias("lines"))
+    like = lambda pattern: F.filter("lines", lambda x: x.rlike(pattern))
+    rows = rows.select("id", "text", "lines", like(r"^[+-][0-9]{4}[A-Z]{2}$").alias("moves"), like("^[+-][0-9]").alias("like_moves"), like("^P[1-9]").alias("board"), like("^N[+-]").alias("names"), like("^[+-]$").alias("turns"))
+    compact = F.size(F.filter("lines", lambda x: x == "PI"))
+    board = F.when(F.size("board") == 0, compact == 1).otherwise((F.col("board") == F.lit(BOARD)) & (compact == 0))
+    names = (F.size("names") == 2) & F.get("names", F.lit(0)).startswith("N+") & F.get("names", F.lit(1)).startswith("N-")
+    alternate = F.forall(F.transform("moves", lambda x, i: F.substring(x, 1, 1) == F.when(i % 2 == 0, "+").otherwise("-")), lambda ok: ok)
+    valid = board & names & (F.col("turns") == F.array(F.lit("+"))) & (F.size("moves") > 0) & (F.size("moves") == F.size("like_moves")) & alternate & ~F.contains("text", F.lit("\x00"))
+    canonical = F.concat(F.array_join(F.concat(F.lit(BOARD), F.array(F.lit("+")), "moves"), "\n"), F.lit("\n"))
+    return rows.select("id", "moves", F.size("moves").alias("plies"), F.sha2(canonical, 256).alias("canonical_sha256"), F.coalesce(valid, F.lit(False)).alias("valid"))
 
 
 def listing(texts: DataFrame, text_col: str, prefix: str, suffix: str) -> DataFrame:
@@ -51,20 +62,3 @@ def listing(texts: DataFrame, text_col: str, prefix: str, suffix: str) -> DataFr
     fields = blocks.select(F.str_to_map(F.trim("block"), F.lit("\n"), F.lit(" = ")).alias("m")).select(F.col("m")["Path"].alias("path"), F.col("m")["Size"].try_cast("long").alias("size"))
     safe = ~F.col("path").rlike(r"(^|/)\.\.(/|$)|^/|\\")
     return fields.where(F.col("path").startswith(prefix) & F.col("path").endswith(suffix) & safe)
-
-
-def log_fields(line: Column) -> Column:
-    """Typed fields of a score line, null where absent (FN-10, FN-30); two node counts are ambiguous and give null nodes."""
-
-    def number(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).try_cast("long")
-
-    nodes = F.when(F.regexp_count(line, F.lit(r"\bnodes\b")) == 1, number(r"\bnodes (\d+)\b"))
-    head = line.startswith("info ") & ~line.startswith("info string")
-    fields = F.struct(
-        number(r"\bdepth (\d+)\b").alias("depth"), number(r"\bmultipv (\d+)\b").alias("multipv"), nodes.alias("nodes"), number(r"\bscore cp ([+-]?\d+)\b").alias("cp"),
-        F.nullif(F.regexp_extract(line, r"\bscore mate ([+-]?\d+|[+-])(?:\s|$)", 1), F.lit("")).alias("mate"),
-        F.nullif(F.regexp_extract(line, r"\b(lowerbound|upperbound)\b", 1), F.lit("")).alias("bound"),
-        F.filter(F.split(F.regexp_extract(line, r"\bpv (.+)$", 1), r"\s+"), lambda x: x != "").alias("pv"),
-    )
-    return F.when(head, fields)

@@ -11,7 +11,7 @@ from granary.functions.fnv import fnv1a
 from granary.operators import evaluation as E
 from granary.operators import relations as R
 from granary.sources import records
-from granary.streaming.events import counts_by_window, ingest, last_window
+from granary.streaming.events import counts_by_window, ingest, last_window, state_folder
 
 
 def one(spark, **columns):
@@ -19,10 +19,17 @@ def one(spark, **columns):
 
 
 def test_games(spark):
-    texts = {"ok": "V2.2\nN+a\nPI\n+\n+7776FU\n-3334FU\n%TORYO", "turn": "PI\n+\n+7776FU\n+3334FU", "none": "PI\n+\n", "bad": "PI\n+\n+77FU", "null": None}
+    board = "\n".join(records.BOARD)
+    head = "V2.2\nN+a\nN-b\nPI\n+\n"
+    texts = {
+        "ok": head + "+7776FU\n-3334FU\n%TORYO", "board": f"N+a\r\nN-b\r\n{board}\r\n+\r\n+7776FU\r\n-3334FU\r\n", "turn": head + "+7776FU\n+3334FU", "none": head, "bad": head + "+77FU", "null": None, "nul": head + "+7776FU\x00",
+        "one name": "N+a\nPI\n+\n+7776FU", "no board": "N+a\nN-b\n+\n+7776FU", "two boards": head.replace("PI", "PI\n" + board) + "+7776FU", "names turned": head.replace("N+a\nN-b", "N-b\nN+a") + "+7776FU", "white first": head.replace("\n+\n", "\n-\n") + "-3334FU",
+        "other board": head.replace("PI", board.replace("-OU", " * ")) + "+7776FU",
+    }
     found = {r.id: r for r in records.games(spark.createDataFrame(list(texts.items()), "id string, t string"), "id", "t").collect()}
-    assert found["ok"].moves == ["+7776FU", "-3334FU"] and found["ok"].canonical_sha256 == hashlib.sha256(b"+7776FU\n-3334FU").hexdigest()
-    assert {k for k, r in found.items() if r.valid} == {"ok"} and found["null"].plies == 0
+    want = hashlib.sha256((board + "\n+\n+7776FU\n-3334FU\n").encode()).hexdigest()
+    assert found["ok"].moves == ["+7776FU", "-3334FU"] and found["ok"].canonical_sha256 == found["board"].canonical_sha256 == want
+    assert {k for k, r in found.items() if r.valid} == {"ok", "board"} and found["null"].plies == 0
 
 
 def test_listing(spark):
@@ -30,13 +37,6 @@ def test_listing(spark):
     assert records.listing(spark.createDataFrame([(text,)], "t string"), "t", "a/", ".pack").collect() == [Row(path="a/x.pack", size=10)]
 
 
-def test_log_fields(spark):
-    lines = ["info depth 3 multipv 1 nodes 10 score cp -5 lowerbound pv 7g7f 3c3d", "info nodes 1 nodes 2 score mate -0", "info string score cp 9", "info score mate +"]
-    f = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "l string").select(records.log_fields(F.col("l"))).collect()]
-    assert (f[0].depth, f[0].nodes, f[0].cp, f[0].bound, f[0].pv) == (3, 10, -5, "lowerbound", ["7g7f", "3c3d"])
-    assert f[1].nodes is None and f[1].mate == "-0" and f[2] is None and f[3].mate == "+"
-
-
 def test_strict_json(spark, tmp_path):
     rows = spark.createDataFrame([('{"k": 1}',), ('{"k": 1, "k": 2}',), ("{",), (None,)], "t string").select(records.strict_json(F.col("t"), "struct<k: bigint>")["k"].alias("k"))
     assert [r.k for r in rows.collect()] == [1, None, None, None]
@@ -86,11 +86,15 @@ def test_relations(spark):
 def test_streams(spark, tmp_path):
     ev = spark.createDataFrame([(1, "x"), (2, "go"), (3, "a"), (4, "go"), (5, "b"), (6, "stop"), (7, "c")], "i int, e string").withColumn("k", F.lit(1))
     assert [r.i for r in last_window(ev, "k", ["i"], F.col("e") == "go", F.col("e") == "stop").collect()] == [5]
+    assert sorted(r.i for r in last_window(ev, "k", ["i"], F.col("e") == "go", F.col("e") == "stop", keep_stop=True).collect()) == [5, 6]
+    assert sorted(r.i for r in last_window(ev, "k", ["i"], F.col("e") == "none", F.col("e") == "stop").collect()) == [1, 2, 3, 4, 5]
     src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
     ev.write.json(src)
     for _ in range(2):
-        ingest(spark, src, "i int, e string, k int", out, mark)
+        ingest(spark, src, "i int, e string, k int", out, state_folder(mark, source=src, version=1))
     assert spark.read.parquet(out).count() == 7
+    ingest(spark, src, "i int, e string, k int", out + "2", state_folder(mark, source=src, version=2))  # other settings start anew
+    assert spark.read.parquet(out + "2").count() == 7
     timed = spark.readStream.schema("i int, e string, k int").json(src).withColumn("ts", F.timestamp_seconds("i"))
     q = counts_by_window(timed, "ts", "e").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
