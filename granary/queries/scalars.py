@@ -20,7 +20,12 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-@query("fn03_fnv1a")
+@query(
+    "fn03_fnv1a",
+    """WITH h AS (SELECT c_custkey, list_reduce(list_transform(range(1, length(c_name) + 1), lambda k: ascii(c_name[k])::HUGEINT), lambda h, b: xor(h, b) * 1099511628211 % 18446744073709551616, 14695981039346656037::HUGEINT) AS h FROM customer),
+    w AS (SELECT c_custkey, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash FROM h)
+    SELECT c_custkey, hash, (hash % 1000 + 1000) % 1000 AS bucket FROM w""",
+)
 def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", fnv1a("c_name").alias("hash")).withColumn("bucket", F.pmod(F.col("hash"), F.lit(1000)))
 

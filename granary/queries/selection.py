@@ -155,7 +155,17 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
 
 
-@query("top02_greedy_exclusive")
+@query(
+    "top02_greedy_exclusive",
+    """WITH RECURSIVE c AS (
+      SELECT row_number() OVER (ORDER BY bucket, r) AS i, * FROM (SELECT o_orderpriority AS bucket, CAST(o_orderkey AS VARCHAR) AS id, 'n' || c_nationkey AS a, 's' || c_custkey AS b, sha256('pick' || chr(0) || o_orderkey) AS r FROM orders JOIN customer ON o_custkey = c_custkey)),
+    s AS (
+      SELECT 0::BIGINT AS i, '' AS bucket, 0 AS taken, []::VARCHAR[] AS used, false AS ok
+      UNION ALL
+      SELECT i, bucket, taken + CASE WHEN ok THEN 1 ELSE 0 END, CASE WHEN ok THEN list_concat(used, [a, b]) ELSE used END, ok
+      FROM (SELECT c.i, c.bucket, c.a, c.b, s.used, t.taken, t.taken < 3 AND NOT list_has_any(s.used, [c.a, c.b]) AS ok FROM s JOIN c ON c.i = s.i + 1, LATERAL (SELECT CASE WHEN c.bucket = s.bucket THEN s.taken ELSE 0 END AS taken) t))
+    SELECT bucket, id, a, b FROM s JOIN c USING (i, bucket) WHERE ok""",
+)
 def _(spark, sf_dir):
     """The shortlist: the best-ranked order of each priority and nation; an entity is a customer's nation or the customer."""
     both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.scalar import forbidden, hash_split, position_key
-from granary.sources.records import strict_json
+from granary.sources.records import inventory, strict_json
 
 FILE_ROWS = 500_000
 POSITIONS = "game_id string, ply int, schema_version int, sfen string, split string"
@@ -23,13 +23,6 @@ def write_json_lines(rows: DataFrame, path: str, *by: str) -> None:
     rows.select(*sorted(rows.columns)).write.option("ignoreNullFields", "false").option("maxRecordsPerFile", FILE_ROWS).partitionBy(*by).json(path)
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of all data files under a folder, names relative to it (AGG-34, SNK-04)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
-    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(~F.col("name").startswith("_"))
-
-
 def inventory_digest(files: DataFrame) -> DataFrame:
     """One row (n_files, bytes, digest): the digest is of the files' names, sizes and hashes, whatever their order; a row for each file is all it gathers (AGG-34)."""
     rows = F.array_sort(F.collect_list(F.concat_ws(" ", "name", "bytes", "sha256")))

@@ -27,9 +27,16 @@ def strict_json(text: Column, schema: str) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema))
 
 
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(name, bytes, sha256) of all data files in a folder and below it, names relative to it (AGG-34)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(~F.col("name").startswith("_"))
+
+
 def verified_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """(name, bytes, sha256, verdict) of manifest rows against the files at path: ok, missing, extra or changed (SRC-03)."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("found_bytes"), F.sha2("content", 256).alias("found_sha"))
+    files = inventory(spark, path).withColumnsRenamed({"bytes": "found_bytes", "sha256": "found_sha"})
     both = manifest.join(files, "name", "full")
     verdict = F.when(F.col("found_sha").isNull(), "missing").when(F.col("sha256").isNull(), "extra").when((F.col("found_sha") == F.col("sha256")) & (F.col("found_bytes") == F.col("bytes")), "ok").otherwise("changed")
     return both.select("name", F.coalesce("found_bytes", "bytes").alias("bytes"), F.coalesce("found_sha", "sha256").alias("sha256"), verdict.alias("verdict"))
