@@ -238,3 +238,27 @@ def frontier(shares: DataFrame, start: DataFrame, target: int | None = None) ->
         if target and total >= target:
             break
     return known
+
+
+#: The multiplier and increment of the 64-bit linear congruential generator, and what a seed is mixed with.
+MULTIPLIER, INCREMENT, MIX = 6_364_136_223_846_793_005, 1_442_695_040_888_963_407, 0xD1B54A32D192ED03
+
+
+def seeded_permutation(rows: DataFrame, order: str, seed: int, bound: int = 1_000_000) -> DataFrame:
+    """(order, at): the place of each row, taken in ascending order of a unique column, after a Fisher-Yates shuffle by the generator (TOP-07).
+
+    Each swap depends on all before it, so the permutation is made on the driver, for `bound` rows at most; more are an
+    error. For larger tables sort by a seeded hash (functions.scalar.seeded_rank).
+    """
+    n = rows.select(order).limit(bound + 1).count()
+    if n > bound:
+        raise ValueError(f"over {bound} rows")
+    places, state = list(range(n)), (seed ^ MIX) % 2**64
+    for last in reversed(range(1, n)):
+        state = (state * MULTIPLIER + INCREMENT) % 2**64
+        other = state % (last + 1)
+        places[last], places[other] = places[other], places[last]
+    spark = rows.sparkSession
+    at = spark.createDataFrame([(index, place) for place, index in enumerate(places)], "index int, at int")
+    numbered = rows.select(order, (F.row_number().over(Window.orderBy(order)) - 1).alias("index"))
+    return numbered.join(at, "index").select(order, "at")

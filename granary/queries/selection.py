@@ -139,6 +139,20 @@ def _(spark, sf_dir):
     return ranked.withColumn("within", within).join(F.broadcast(before), "range").select("item_id", (F.col("before") + F.col("within")).cast("int").alias("at"))
 
 
+@query(
+    "top07_generator_permutation",
+    f"""WITH RECURSIVE b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM benchmark),
+    r AS (
+      SELECT (SELECT count(*) FROM b) AS last, {(42 ^ R.MIX) % 2**64}::HUGEINT AS state, (SELECT list(i ORDER BY i) FROM b) AS places
+      UNION ALL
+      SELECT last - 1, s, CASE WHEN last < 2 THEN places ELSE list_transform(places, lambda x, k: CASE k WHEN last THEN places[j] WHEN j THEN places[last] ELSE x END) END
+      FROM (SELECT *, CAST(s % last AS BIGINT) + 1 AS j FROM (SELECT *, (state * {R.MULTIPLIER} + {R.INCREMENT}) % 18446744073709551616 AS s FROM r WHERE last > 1)))
+    SELECT item_id, CAST(spot - 1 AS INTEGER) AS "at" FROM (SELECT unnest(places) AS i, unnest(range(1, len(places) + 1)) AS spot FROM r WHERE last = 1) JOIN b USING (i)""",
+)
+def _(spark, sf_dir):
+    return R.seeded_permutation(table(spark, sf_dir, "benchmark"), "item_id", 42)
+
+
 @query("top08_cap_per_source", "SELECT doc_id, source, CAST(rank AS INTEGER) AS rank FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('cap' || chr(0) || doc_id)) AS rank FROM documents) WHERE rank <= 5")
 def _(spark, sf_dir):
     return R.first_per_group(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], [seeded_rank("cap", F.col("doc_id"))], 5)
