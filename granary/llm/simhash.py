@@ -7,8 +7,10 @@ only edges within the radius.
 One tree over all fingerprints would be broadcast whole and grow with the corpus, so trees are sharded without loss: the
 bits are cut into radius + s parts, and two fingerprints within the radius agree on s parts at least. A shard holds the
 fingerprints that agree on one choice of s parts; s follows the number of fingerprints, so shards stay small, and any s
-finds the same links. A shard of more than TILE fingerprints is cut into tiles; each pair of tiles is then a tree and its
-queries. A shard yields one link per fingerprint (to the least of its local component), never all pairs.
+finds the same links. Where many fingerprints are alike, a shard of more than TILE is not searched; its fingerprints are
+sharded anew by one more part, which finds its links too. Shards that are large by MOST parts are cut into tiles; each pair of
+tiles is then a tree and its queries. A shard yields one link per fingerprint (to the least of its local component), never
+all pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .components import components
 TILE = 4096
 #: Mean fingerprints of a shard, beyond which one more part must agree.
 SHARD = 512
+#: Parts that must agree, at most.
+MOST = 4
 #: (query, node) pairs that a search holds at once.
 FRONTIER = 1 << 21
 
@@ -93,9 +97,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
 
 def to_agree(n: int, radius: int) -> int:
-    """The fewest parts that must agree so that a shard has SHARD of n evenly spread fingerprints at most; 4 at most."""
+    """The fewest parts that must agree so that a shard has SHARD of n evenly spread fingerprints at most; MOST at most."""
     agree = 1
-    while agree < 4 and n >> (64 * agree // (radius + agree)) > SHARD:
+    while agree < MOST and n >> (64 * agree // (radius + agree)) > SHARD:
         agree += 1
     return agree
 
@@ -114,20 +118,40 @@ def _signed(x: int) -> int:
 
 def links(fps: DataFrame, radius: int = 4, tile: int = TILE, agree: int | None = None) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints within the radius, whatever tile and agree are."""
-    chosen = masks(agree or to_agree(fps.count(), radius), radius)
-    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in chosen])
-    rows = fps.select("fp", F.posexplode(keys).alias("mask", "key"))
-    large = cut(rows.groupBy("mask", "key").count().where(F.col("count") > tile).select("mask", "key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("tiles"), "count"), "simhash-large")
-    none = F.lit(0)
-    if large.isEmpty():
-        rows = rows.select("mask", "key", none.alias("i"), none.alias("j"), none.alias("side"), "fp")
-    else:
+    agree = agree or to_agree(fps.count(), radius)
+    found = []
+    while True:
+        keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(agree, radius)])
+        rows = fps.select("fp", F.posexplode(keys).alias("mask", "key"))
+        large = cut(rows.groupBy("mask", "key").count().where(F.col("count") > tile).select("mask", "key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("tiles"), "count"), "simhash-large")
+        if large.isEmpty():
+            found.append(_tree_links(rows.select("mask", "key", *[F.lit(0).alias(c) for c in ("i", "j", "side")], "fp"), radius))
+            break
         rows = cut(rows, "simhash-rows")
-        rows = join_hot(rows, large, ["mask", "key"], "count").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
-        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        side: Column = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        rows = rows.select("mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "fp")
+        rows = join_hot(rows, large, ["mask", "key"], "count")
+        if agree == MOST:
+            found.append(_tree_links(_tiled(rows), radius))
+            break
+        found.append(_tree_links(rows.where("tiles IS NULL").select("mask", "key", *[F.lit(0).alias(c) for c in ("i", "j", "side")], "fp"), radius))
+        fps = cut(rows.where("tiles IS NOT NULL").select("fp").distinct(), "simhash-dense")
+        agree += 1
+    edges = found[0]
+    for x in found[1:]:
+        edges = edges.unionByName(x)
+    return edges
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Rows of shards in `tiles` tiles each, once for each pair of tiles (i, j) that the fingerprint is in: side 0 in both, 1 in i, 2 in j."""
+    rows = rows.withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    side: Column = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return rows.select("mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "fp")
+
+
+def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) that the trees of shards (mask, key, i, j) find."""
     by = ["mask", "key", "i", "j"]
     rows = rows.repartition(*by).sortWithinPartitions(*by, "side", "fp")
 
