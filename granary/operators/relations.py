@@ -262,3 +262,20 @@ def seeded_permutation(rows: DataFrame, order: str, seed: int, bound: int = 1_00
     at = spark.createDataFrame([(index, place) for place, index in enumerate(places)], "index int, at int")
     numbered = rows.select(order, (F.row_number().over(Window.orderBy(order)) - 1).alias("index"))
     return numbered.join(at, "index").select(order, "at")
+
+
+def input_digests(inputs: dict[str, DataFrame]) -> DataFrame:
+    """(input, n, digest) of each table: the number of its rows and the sum of 60 bits of each row's SHA-256, whatever their order; partial sums, nothing gathered (DQ-08)."""
+    found = None
+    for name, rows in inputs.items():
+        text = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+        h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(20,0)")
+        one = rows.agg(F.lit(name).alias("input"), F.count("*").alias("n"), F.coalesce(F.sum(h).cast("string"), F.lit("0")).alias("digest"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(input, unchanged) over the inputs of both; one that is missing on a side has changed (DQ-08)."""
+    b = after.select("input", F.struct("n", "digest").alias("b"))
+    return before.select("input", F.struct("n", "digest").alias("a")).join(b, "input", "full").select("input", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("unchanged"))

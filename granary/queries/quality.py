@@ -58,11 +58,18 @@ def _(spark, sf_dir):
     return c.select("c_nationkey", "c_mktsegment").exceptAll(c.where("c_acctbal > 0").select("c_nationkey", "c_mktsegment"))
 
 
-@query("dq08_unchanged", "SELECT 'c_name' AS \"column\", CAST(0 AS BIGINT) AS n_mismatch UNION ALL SELECT 'c_acctbal', count(*) FILTER (WHERE c_acctbal < 0) FROM customer")
-def _(spark, sf_dir):
-    before = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    after = before.withColumn("c_acctbal", F.greatest("c_acctbal", F.lit(0.0)))
-    return R.mismatches(before, after, ["c_custkey"], ["c_name", "c_acctbal"])
+@query(
+    "dq08_unchanged",
+    """SELECT * FROM (VALUES ('customer', true), ('orders', false), ('part', true), ('supplier', false)) t(input, unchanged)""",
+)
+def _(spark, sf_dir):
+    """Digests of four inputs, taken over all their rows and columns before and after; one table has a value changed in between, and one has lost a row."""
+    names = {"customer": None, "orders": F.col("o_orderkey") % 1000 == 1, "part": None, "supplier": F.col("s_suppkey") == 1}
+    before = R.input_digests({n: table(spark, sf_dir, n) for n in names})
+    after = {n: table(spark, sf_dir, n) for n in names}
+    after["orders"] = after["orders"].withColumn("o_orderstatus", F.when(names["orders"], "X").otherwise(F.col("o_orderstatus")))
+    after["supplier"] = after["supplier"].where(~names["supplier"])
+    return R.unchanged(before, R.input_digests(after))
 
 
 @query("dq10_gate", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 1) AS positive, max(value) AS observed, count(*) >= 100 AND count(*) FILTER (WHERE value > 1) * 2 > count(*) AND max(value) < 400 AS passes FROM events GROUP BY 1")

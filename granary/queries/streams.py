@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.operators.relations import frontier
-from granary.session import table
-from granary.streaming.events import last_window
+from granary.session import scratch_folder, table
+from granary.streaming.events import ingest, last_window, state_folder
 
 from . import Registry
 
@@ -42,3 +42,33 @@ def _(spark, sf_dir):
     """All parts that share an order with part 0, or with one that does, and so on. The SQL stops after seven rounds, by when the test tables have no more."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("place"), F.col("l_partkey").alias("member"))
     return frontier(lines, spark.range(1).select(F.col("id").alias("member"))).select(F.col("member").alias("partkey"), "distance")
+
+
+@query("str06_resumed_ingest", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    """Events arrive as files in two parts; ingestion stops between them and resumes, and a third run finds nothing new."""
+    source, sink, state = (scratch_folder(spark, x) for x in ("arrivals", "sink", "state"))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type")
+    for part in (rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), None):
+        if part is not None:
+            part.write.mode("append").json(source)
+        ingest(spark, source, "event_id long, event_type string", sink, state_folder(state, source="events", version=1))
+    return spark.read.parquet(sink).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("str08_state_by_settings", "SELECT event_type, CAST(2 * count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    """The same settings resume, so a second run adds nothing; other settings have a state and a sink of their own and read all files again."""
+    source, sink, state = (scratch_folder(spark, x) for x in ("arrivals", "sink", "state"))
+    table(spark, sf_dir, "events").select("event_id", "event_type").write.json(source)
+    for version in (1, 1, 2):
+        ingest(spark, source, "event_id long, event_type string", f"{sink}/{version}", state_folder(state, source="events", version=version))
+    return spark.read.parquet(f"{sink}/1").unionByName(spark.read.parquet(f"{sink}/2")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("str04_reset_on_marker", "WITH m AS (SELECT user_id, max(event_id) AS go FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT e.user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events e JOIN m USING (user_id) WHERE event_id >= go GROUP BY 1")
+def _(spark, sf_dir):
+    """What each user has gathered since the last event that starts anew, that event included; users without one have nothing."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    started = ev.where("event_type = 'signup'").groupBy("user_id").agg(F.max("event_id").alias("go"))
+    return ev.join(started, "user_id").where("event_id >= go").groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
