@@ -1,20 +1,18 @@
 """Operator 7, benchmark decontamination: one Aho-Corasick automaton over the normalised windows of all items.
 
 Words are runs of lower-cased ASCII letters, digits and all characters past ASCII. Texts are normalised byte by byte
-(translate), so a word's number gives its offsets in the original. The automaton's letters are words: each distinct word of
-the items is one code point, every other word of a text is one more, which no pattern holds. Texts are scanned once, and a
-match gives the words it covers.
+(translate), so offsets of the normalised words map to the original by their number. Texts are scanned once; a match gives a
+window's last byte, hence the words it covers and their places in the original text.
 
-The automaton is a broadcast of the items' windows, and its size is checked: it holds at most PART windows, hence at most
-10 * PART nodes. More windows are dealt by hash into parts; the texts are scanned once for each part, one after the other,
-so a worker and the driver hold one part at a time, and hits are merged by row. Parts cost scans, never results.
+The automaton is a broadcast of the items' windows, and its size is checked: it holds PART bytes of them, hence at most so
+many nodes. More windows are dealt by hash into parts; the texts are scanned once for each part, one after the other, so a
+worker and the driver hold one part at a time, and hits are merged by row. Parts cost scans, never results.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -25,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, drop_rows, filter_texts, number_rows, slices
 
-#: Windows of an automaton at most. Their words must be fewer than the code points.
-PART = 100_000
+#: Bytes of windows in an automaton, about: some 70,000 windows, for which a Python worker takes a few hundred MB.
+PART = 4 << 20
 #: Bytes of no word become spaces, A-Z become a-z, all else stays.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -56,37 +54,31 @@ def patterns(items: DataFrame, item_col: str, text_col: str, window: int) -> Dat
 
 
 class Matcher:
-    """An automaton over (pattern, item ids) rows, whose letters are words."""
+    """An automaton over the bytes of (pattern, item ids) rows."""
 
     def __init__(self, rows: list[tuple[bytes, list[str]]]):
-        words = sorted(set(chain.from_iterable(p.split(b" ") for p, _ in rows)))
-        points = (c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000)
-        self.letter = {w: chr(c) for w, c in zip(words, points, strict=False)}
-        if len(self.letter) < len(words):
-            raise ValueError(f"{len(words)} words are more than there are code points")
         self.automaton = ahocorasick.Automaton()
         for p, ids in rows:
-            w = p.split(b" ")
-            self.automaton.add_word("".join(map(self.letter.__getitem__, w)), (len(w), ids))
+            self.automaton.add_word(f" {p.decode('latin-1')} ", (len(p) + 1, ids))
         if rows:
             self.automaton.make_automaton()
 
     def hits(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
-        """(first word, last word + 1, item ids) of each occurrence."""
-        if len(self.automaton):
-            get = self.letter.get
-            for last, (n, ids) in self.automaton.iter("".join([get(w, "\0") for w in words])):
-                yield last + 1 - n, last + 1, ids
+        """(first byte, last byte, item ids) of each occurrence in the words between single spaces, which count with it."""
+        if words and len(self.automaton):
+            for end, (length, ids) in self.automaton.iter(f" {b' '.join(words).decode('latin-1')} "):
+                yield end - length, end, ids
 
 
 def scan(text: bytes | None, matcher: Matcher) -> tuple[list[bytes], list[tuple[int, int]], set[str]]:
     """(words, covered runs of words as [first, last + 1), ids of the items with a window there)."""
     w = words_of(text)
-    runs, ids = [], set()
-    for a, b, own in matcher.hits(w):
-        runs.append((a, b))
-        ids.update(own)
-    return w, merged(runs), ids
+    found = list(matcher.hits(w))
+    if not found:
+        return w, [], set()
+    starts = np.cumsum([1] + [len(x) + 1 for x in w])  # of each word between the spaces, and past the end
+    firsts, lasts = np.searchsorted(starts, [a + 1 for a, _, _ in found]), np.searchsorted(starts, [b for _, b, _ in found])
+    return w, merged(list(zip(firsts.tolist(), lasts.tolist()))), {i for _, _, ids in found for i in ids}
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -124,13 +116,12 @@ def _matcher(key: str, shared: Broadcast) -> Matcher:
 def _parts(items: DataFrame, item_col: str, text_col: str, window: int, part: int) -> Iterator[tuple[Callable[[], Matcher], int]]:
     """For each part of the items' windows, what gives its automaton in a task, and the number of parts; a part is collected when its turn comes."""
     found = cut(patterns(items, item_col, text_col, window), "item-windows")
-    n = found.count()
-    parts = -(-n // part) if n <= part else -(-4 * n // (3 * part))  # dealt by hash, parts are uneven
-    parts = max(parts, 1)
+    size = found.agg(F.sum(F.length("pattern") + 2)).first()[0] or 0
+    parts = 1 if size <= part else -(-4 * size // (3 * part))  # dealt by hash, parts are uneven
     dealt = found.withColumn("part", F.pmod(F.xxhash64("pattern"), F.lit(parts)))
     try:
         for k in range(parts):
-            rows = [(bytes(r.pattern), list(r.ids)) for r in dealt.where(F.col("part") == k).sort("pattern").collect()]  # about `part` rows
+            rows = [(bytes(r.pattern), list(r.ids)) for r in dealt.where(F.col("part") == k).sort("pattern").collect()]  # about `part` bytes of windows
             shared, key = items.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
             yield (lambda shared=shared, key=key: _matcher(key, shared)), parts
     finally:
