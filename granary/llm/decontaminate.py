@@ -124,6 +124,7 @@ def _parts(items: DataFrame, item_col: str, text_col: str, window: int, part: in
             rows = [(bytes(r.pattern), list(r.ids)) for r in dealt.where(F.col("part") == k).sort("pattern").collect()]  # about `part` bytes of windows
             shared, key = items.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
             yield (lambda shared=shared, key=key: _matcher(key, shared)), parts
+            shared.unpersist()  # its scans are written
     finally:
         discard(found)
 
@@ -194,11 +195,20 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
     Rows with null text stay, as do all rows if there are no items. Each row is decided by its own text; ids aren't read.
     """
-    for matcher, _ in _parts(items, item_col, item_text_col, window, part):
+    gone, numbered, row = [], None, ""
+    for matcher, parts in _parts(items, item_col, item_text_col, window, part):
+        if parts == 1:
 
-        def test(matcher: Callable[[], Matcher] = matcher) -> Callable[[list[bytes | None]], list[bool]]:
-            own = matcher()
-            return lambda texts: [next(own.hits(words_of(t)), None) is None for t in texts]
+            def test(matcher: Callable[[], Matcher] = matcher) -> Callable[[list[bytes | None]], list[bool]]:
+                own = matcher()
+                return lambda texts: [next(own.hits(words_of(t)), None) is None for t in texts]
 
-        docs = filter_texts(docs, text_col, test)
-    return docs
+            return filter_texts(docs, text_col, test)
+        if numbered is None:
+            numbered, row = number_rows(docs)
+        hits = _hits(numbered.select(row, F.col(text_col).alias("text")), row, "text", matcher)
+        gone.append(cut(hits.where(F.size("runs") > 0).select(row), "part-hits"))
+    dropped = gone[0]
+    for x in gone[1:]:
+        dropped = dropped.unionByName(x)
+    return drop_rows(numbered, row, dropped)

@@ -385,7 +385,7 @@ def generated(seed: int, pages: int) -> list[tuple[str, list[str]]]:
             main = f"<div{style.attr('main', 0.2)}>{main}{keep(side, 0.2)}</div>" if r.random() < 0.3 else main
         body = before + "<!-- x -->" + main + after + foot
         if layout != "bare" and r.random() < 0.25:
-            body = f'<div{pick(["", " id=page", chr(32) + chr(99) + "lass=wrapper"])}>{body}</div>'
+            body = f"<div{pick(['', ' id=page', ' class=wrapper'])}>{body}</div>"
         made.append((f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{margin:0}}</style></head><body>{body}" + pick(["</body></html>", "</body></html>", ""]), texts))
     return made
 

@@ -125,7 +125,9 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, spans) of every row: an array of (kind, start, end), code points, end exclusive.
 
-    Null and empty texts have no spans. Repeated rows get a row each; an empty table gives an empty result.
+    Null and empty texts have no spans. Whole texts are scanned, however long; spans of one kind never overlap, and spans of
+    one start are in the order of KINDS. Repeated rows get a row each; other columns are not read; an empty table gives an
+    empty result.
     """
     docs = docs.select(id_col, text_col)
     kind = "array<struct<kind: string, start: int, end: int>>"

@@ -69,8 +69,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """One row per row of docs: id_col, fingerprint (16 hexadecimal digits), component_id (smallest id reachable).
 
-    Rows with no words have the fingerprint zero and are linked like any other. Null ids never name a component unless
-    all its ids are null. Repeated rows share a component. An empty table gives an empty result.
+    Rows with no words have the fingerprint zero and are linked like any other; a bit that is set in just half of the hashes
+    is 0. Whole texts are hashed, a long one in parts. Null ids never name a component unless all its ids are null. Repeated
+    rows share a component and get a row each; other columns are not read. An empty table gives an empty result.
     """
     marks = cut(fingerprints(docs, id_col, text_col), "simhash-marks")
     fps = cut(marks.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("times")), "simhash-fps")
