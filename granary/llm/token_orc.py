@@ -53,7 +53,7 @@ POINT = re.compile(rb"[,.](?=[\x20\x0a])(?:(?<=[a-z][,.])|(?<=\xc3[\x80-\x96\x98
 #: A word of lower-case Latin letters: one piece, already normalised.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: Bytes of text encoded at once.
-PART = 2 << 20
+PART = 4 << 20
 
 
 def wordwise(path: str) -> bool:
@@ -176,7 +176,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]), pa.int32()), pa.array(np.insert(found, ends, END)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), ids], names=schema.names)
 
-    options = {"orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
+    options = {"orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "none"}  # ids are run-length encoded already
     dealt.mapInArrow(run, schema).write.options(**options).orc(path)
 
 
