@@ -64,6 +64,7 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return found
 
 
+@cache
 def token_bytes(path: str, pattern: str) -> list[bytes | None]:
     """The bytes of each id: its spelling in the vocabulary, with the byte table reversed; None for an id that has no token."""
     byte_of = {ord(c): b for b, c in enumerate(byte_characters())}
@@ -105,8 +106,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         for batch in batches:
             for start, texts in slices(batch.column(1), PART):
                 found = [np.array(e.ids, "<u4") for e in t.encode_batch_fast([(x or b"").decode() for x in texts], add_special_tokens=False)]
-                places = [token_offsets(x or b"", i, lengths) for x, i in zip(texts, found)]
-                split = [int(np.count_nonzero(a[1:] < b[:-1])) for a, b in places]
+                # In ASCII each byte is a character, and no token splits one.
+                places = [None if not offsets and (x or b"").isascii() else token_offsets(x or b"", i, lengths) for x, i in zip(texts, found)]
+                split = [int(np.count_nonzero(p[0][1:] < p[1][:-1])) if p else 0 for p in places]
                 columns = [batch.column(0).slice(start, len(texts)), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64()), pa.array(split, pa.int64())]
                 if offsets:
                     columns.append(pa.array([np.stack(x, axis=1).tolist() for x in places], pa.list_(pa.list_(pa.int32()))))
