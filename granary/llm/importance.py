@@ -22,14 +22,15 @@ MOST_BUCKETS = 1 << 20
 _PLACE = (1 << 33) - 1  # monotonically_increasing_id holds the partition above these bits
 
 
-def words(text: Column | str) -> Column:
+def words(text: str) -> Column:
     """Words of a text with A-Z in lower case; null has none. split() passes over a text once; regexp_extract_all() copies it for each match."""
-    low = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    text = F.coalesce(F.col(text), F.lit(""))
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))  # lower() is the faster, and the same for ASCII
     return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def n_grams(found: Column, most: int) -> Column:
-    """All runs of 1 to `most` consecutive words, joined by one space; repeats stay."""
+    """All runs of 1 to `most` consecutive words, joined by one space; repeats stay. found: a column of the table, as it is looked up for each run."""
 
     def of(n: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size(found) - (n - 1)), lambda i: F.array_join(F.slice(found, i, F.lit(n)), " "))
@@ -48,7 +49,7 @@ def gains(docs: DataFrame, target: DataFrame, text_col: str = "text", buckets: i
         raise ValueError(f"the gain table is broadcast: at most {MOST_BUCKETS} buckets")
 
     def of(rows: DataFrame, s: int, t: int) -> DataFrame:
-        grams = rows.select(F.explode(n_grams(words(text_col), most)).alias("gram"))
+        grams = rows.select(words(text_col).alias("__words")).select(F.explode(n_grams(F.col("__words"), most)).alias("gram"))
         return grams.select((F.crc32("gram") % buckets).alias("bucket"), F.lit(s).alias("s"), F.lit(t).alias("t"))
 
     counts = cut(of(docs, 1, 0).unionByName(of(target, 0, 1)).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "bucket-counts")
