@@ -22,6 +22,8 @@ FIELDS = INTEGERS | REST | {"currmove", "score"}
 BOUNDS = {"lowerbound", "upperbound"}
 SCORES = {"cp": re.compile("[+-]?[0-9]+"), "mate": re.compile("[+-]?[0-9]+|[+-]")}
 NUMBER = re.compile("[+-]?[0-9]+")
+#: Longest runs of digits that are read, and the numbers that a column holds.
+DIGITS, LEAST, MOST = 40, -(1 << 63), (1 << 63) - 1
 #: Integer fields that log_line() returns; `nodes` has a verdict of its own.
 KEPT = ("depth", "seldepth", "time", "nps", "multipv")
 SCHEMA = ", ".join([f"{k} bigint" for k in KEPT] + [f"{k} string" for k in ("kind", "raw", "bound")]) + ", pv array<string>, parse_error string, malformed_scores int, nodes bigint, node_verdicts array<string>, node_evidence string"
@@ -45,8 +47,15 @@ def _prefix(words: list[str]) -> tuple[list[str], int]:
     return words, malformed + (due != "field")
 
 
+def _number(word: str) -> int | None:
+    """The number that a word of digits spells, or None beyond 64 bits."""
+    digits = word.lstrip("+-").lstrip("0")
+    value = (-1 if word.startswith("-") else 1) * (int(digits or "0") if len(digits) < DIGITS else 1 << 64)
+    return value if LEAST <= value <= MOST else None
+
+
 def _node_verdicts(words: list[str]) -> tuple[list[str], list[int | None]]:
-    """What each `nodes` field holds: valid, negative, malformed or missing; and its number."""
+    """What each `nodes` field holds: valid, negative, malformed, missing or, beyond 64 bits, overflow; and its number."""
     verdicts, values, due = [], [], False
     for w in [*words, "nodes"]:  # a field of the format ends a `nodes` that waits for its value
         if due and w in FIELDS:
@@ -54,8 +63,9 @@ def _node_verdicts(words: list[str]) -> tuple[list[str], list[int | None]]:
             values.append(None)
         elif due:
             found = "valid" if re.fullmatch("[0-9]+", w) else "negative" if re.fullmatch("-[0-9]+", w) else "malformed"
-            verdicts.append(found)
-            values.append(None if found == "malformed" else int(w))
+            value = None if found == "malformed" else _number(w)
+            verdicts.append("overflow" if found != "malformed" and value is None else found)
+            values.append(value)
         due = w == "nodes" if not due or w in FIELDS else False
     return verdicts, values
 
@@ -84,9 +94,9 @@ def _fields(words: list[str]) -> dict:
             return out | {"parse_error": f"missing_{name}_value"}
         else:
             value = left.pop()
-            if name in INTEGERS and not NUMBER.fullmatch(value):
-                out["parse_error"] = f"malformed_{name}_value"
-            out[name] = int(value) if name in INTEGERS and NUMBER.fullmatch(value) else None
+            out[name] = _number(value) if name in INTEGERS and NUMBER.fullmatch(value) else None
+            if name in INTEGERS and out[name] is None:
+                out["parse_error"] = f"{'overflow' if NUMBER.fullmatch(value) else 'malformed'}_{name}_value"
     return out
 
 
@@ -119,7 +129,8 @@ def log_line(line: Column) -> Column:
     depth, seldepth, time, nps, multipv; kind, raw and bound (exact, lowerbound, upperbound) of the last score; pv, null if
     there is none; parse_error, null if the line is well-formed as far as it was read; malformed_scores, their number on
     the whole line; nodes, if the line has one `nodes` field with a number; node_verdicts; node_evidence (present, missing,
-    negative, malformed, or ambiguous for several). A score that isn't well-formed leaves kind null but never hides `nodes`.
+    negative, malformed, overflow, or ambiguous for several). A number beyond 64 bits is null with a verdict of its own,
+    overflow; raw keeps a score's digits. A score that isn't well-formed leaves kind null but never hides `nodes`.
     """
     return F.pandas_udf(_read, f"{SCHEMA}, is_info boolean")(line)
 

@@ -50,7 +50,7 @@ def observe(events: DataFrame, plan: DataFrame) -> DataFrame:
 
     The last primary line gives the score; a bound is never replaced by an exact score before it, and mate is never turned
     into a number. Node evidence of all lines counts. A malformed score anywhere fails the attempt; so do node counts that
-    are malformed, missing, negative, ambiguous, over N + N div 100, or zero without an exception of zero_exception().
+    are malformed, missing, negative, ambiguous, beyond 64 bits, over N + N div 100, or zero without an exception of zero_exception().
     """
     lines = current_lines(events).select("attempt", "seq", "line", log_line(F.col("line")).alias("p"))
     best = F.col("line").startswith("bestmove")
@@ -71,7 +71,7 @@ def observe(events: DataFrame, plan: DataFrame) -> DataFrame:
         F.count_if(present & (F.col("p.nodes") > 0)).alias("node_evidence_positive_count"),
         F.count_if(present & (F.col("p.nodes") == 0)).alias("node_evidence_zero_count"),
         F.coalesce(F.sum("p.malformed_scores"), F.lit(0)).alias("malformed_scores"),
-        *[has(v).alias(f"any_{v}") for v in ("malformed", "missing", "negative")],
+        *[has(v).alias(f"any_{v}") for v in ("malformed", "missing", "negative", "overflow")],
         F.bool_or(F.col("p.node_evidence") == "ambiguous").alias("any_ambiguous"),
     )
     rows = plan.join(found, "attempt", "left")
@@ -85,9 +85,9 @@ def observe(events: DataFrame, plan: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {
             "bestmove_kind": kind, "pv": F.col("s.pv"), "pv_head": F.get("s.pv", F.lit(0)), "score_kind": F.col("s.kind"), "raw_score_line": F.col("s.line"),
-            "reported_cp": value, "reported_cp_first": F.when(first, value).otherwise(-value), "score_cp": F.when(exact, value), "score_cp_first": F.when(exact, F.when(first, value).otherwise(-value)),
+            "reported_cp": value, "reported_cp_first": F.when(first, value).otherwise(F.try_subtract(F.lit(0), value)), "score_cp": F.when(exact, value), "score_cp_first": F.when(exact, F.when(first, value).otherwise(F.try_subtract(F.lit(0), value))),
             "score_bound": F.col("s.bound"), "score_bound_first": turned, "score_mate": mate, "mate_sign": F.when(mate.isNotNull(), F.regexp_extract(mate, "^[+-]?", 0)),
-            "mate_distance": F.abs(mate.try_cast("bigint")), "mate_distance_known": F.when(mate.isNotNull(), mate.rlike("[0-9]")),
+            "mate_distance": F.greatest(mate.try_cast("bigint"), F.try_subtract(F.lit(0), mate.try_cast("bigint"))), "mate_distance_known": F.when(mate.isNotNull(), mate.rlike("[0-9]")),
             "winner": winner, "winner_first": F.when(winner.isNotNull(), (winner == "self") == first), "reported_nodes_at_score": F.col("s.nodes"), "evidence_at_score": F.col("s.evidence"), "info_count": F.coalesce("info_count", F.lit(0)),
         }
     )
@@ -106,6 +106,7 @@ def observe(events: DataFrame, plan: DataFrame) -> DataFrame:
         .when(F.col("any_malformed"), "malformed_node_evidence")
         .when(F.col("any_missing"), "missing_node_evidence")
         .when(F.col("any_negative"), "negative_node_evidence")
+        .when(F.col("any_overflow"), "node_count_above_limit")
         .when(F.col("any_ambiguous"), "ambiguous_node_evidence")
         .when(F.col("reported_nodes_at_score").isNull() | F.col("last_reported_nodes").isNull(), "missing_node_evidence")
         .when((F.col("node_evidence_zero_count") > 0) & F.col("zero_exception").isNull(), "zero_nodes_without_exception")

@@ -1,4 +1,4 @@
-"""Queries over engine logs. The lines are made from `events`, whose types and ids say what each line holds; the SQL knows that and reads no lines."""
+"""Queries over engine logs. The lines are made from `events`, whose types and ids say what each line holds. The SQL of FN-10 reads the lines; that of the others knows what they hold."""
 
 from __future__ import annotations
 
@@ -40,22 +40,36 @@ def _plan(spark, sf_dir) -> DataFrame:
     return users.selectExpr("attempt", "attempt % 2 = 0 AS first_side", "1200L AS requested_nodes", "'candidate' AS engine", "'normal' AS position_type", "false AS in_check", "30 AS legal_moves", "CAST(NULL AS STRING) AS sole_move", "CAST(array() AS ARRAY<STRING>) AS mating_moves")
 
 
+#: The line of an event; engines also report counts beyond 64 bits.
+_LINE = """CASE WHEN event_type = 'signup' THEN 'go nodes 1200' WHEN event_type = 'purchase' THEN 'bestmove 7g7f'
+    WHEN event_id % 8 = 0 THEN concat('info depth 3 nodes ', n, ' score cp ', c, ' pv 7g7f 3c3d')
+    WHEN event_id % 8 = 1 THEN concat('info depth 3 nodes ', n, ' score cp ', c, ' lowerbound pv 7g7f')
+    WHEN event_id % 8 = 2 THEN concat('info depth ', n, '00000000000000000001 score mate -', n, ' pv 7g7f')
+    WHEN event_id % 8 = 3 THEN concat('info depth 4 score cp x nodes ', n, ' pv 7g7f')
+    WHEN event_id % 8 = 4 THEN concat('info nodes ', n, ' nodes ', c, ' score cp ', c, ' pv 7g7f')
+    WHEN event_id % 8 = 5 THEN concat('info depth 2 nodes 9', n, '0000000000000000000 score cp -', n)
+    WHEN event_id % 8 = 6 THEN concat('info string score cp 1 nodes ', n) ELSE concat('info depth 5 string free score cp ', c) END"""
+_LINES = "SELECT event_id, event_type, event_id % 1300 + 1 AS n, CAST(floor(coalesce(value, 0)) AS BIGINT) - 50 AS c FROM events"
+
+
 @query(
     "fn10_log_lines",
-    f"""WITH e AS ({_EVENTS})
-    SELECT event_id, t = 'view' OR t = 'click' AND k <> 1 OR t NOT IN ('signup', 'purchase', 'view', 'click') AS is_info,
-      CASE WHEN t = 'view' THEN 3 WHEN t = 'click' AND k = 0 THEN 3 WHEN t = 'click' AND k IN (2, 3) THEN 4 WHEN t = 'click' AND k = 5 THEN 2 WHEN t NOT IN ('signup', 'purchase', 'view', 'click') THEN 5 END::BIGINT AS depth,
-      CASE WHEN t = 'view' OR t = 'click' AND k IN (0, 4) THEN 'cp' WHEN t = 'click' AND k = 2 THEN 'mate' END AS kind,
-      CASE WHEN t = 'view' OR t = 'click' AND k IN (0, 4) THEN CAST(c AS VARCHAR) WHEN t = 'click' AND k = 2 THEN '-3' END AS raw,
-      CASE WHEN t = 'click' AND k = 0 THEN 'lowerbound' WHEN t = 'view' OR t = 'click' AND k IN (2, 4) THEN 'exact' END AS bound,
-      CASE WHEN t = 'view' THEN '7g7f 3c3d' WHEN t = 'click' AND k IN (0, 2, 4) THEN '7g7f' END AS pv,
-      CASE WHEN t = 'click' AND k = 3 THEN 'malformed_score' END AS parse_error,
-      CASE WHEN t = 'view' OR t = 'click' AND k IN (0, 2, 3, 5) THEN n END AS nodes,
-      CASE WHEN t = 'view' OR t = 'click' AND k IN (0, 2, 3, 5) THEN 'present' WHEN t = 'click' AND k = 4 THEN 'ambiguous' WHEN t NOT IN ('signup', 'purchase', 'view', 'click') THEN 'missing' END AS node_evidence
-    FROM e""",
+    rf"""WITH l AS (SELECT event_id, {_LINE} AS line FROM ({_LINES})),
+    h AS (SELECT *, starts_with(line, 'info ') AND NOT starts_with(line, 'info string') AS is_info, regexp_replace(line, ' (pv|string) .*$', '') AS head FROM l),
+    n AS (SELECT *, regexp_extract_all(head, ' nodes (\S+)', 1) AS said, regexp_extract(head, ' depth (\S+)', 1) AS deep, regexp_extract(head, ' score (cp|mate) ([+-]?[0-9]+)( |$)', 2) AS raw, contains(head, ' score ') AS scored FROM h),
+    v AS (SELECT *, TRY_CAST(said[1] AS BIGINT) AS nodes FROM n)
+    SELECT event_id, is_info, CASE WHEN is_info THEN TRY_CAST(deep AS BIGINT) END AS depth, CASE WHEN is_info AND raw <> '' THEN regexp_extract(head, ' score (\S+)', 1) END AS kind, CASE WHEN is_info AND raw <> '' THEN raw END AS raw,
+      CASE WHEN is_info AND raw <> '' THEN coalesce(nullif(regexp_extract(head, ' (lowerbound|upperbound)$', 1), ''), 'exact') END AS bound,
+      CASE WHEN is_info AND NOT (scored AND raw = '') THEN nullif(regexp_extract(line, ' pv (.*)$', 1), '') END AS pv,
+      CASE WHEN is_info AND scored AND raw = '' THEN 'malformed_score' WHEN is_info AND deep <> '' AND TRY_CAST(deep AS BIGINT) IS NULL THEN 'overflow_depth_value' END AS parse_error,
+      CASE WHEN is_info AND len(said) = 1 THEN nodes END AS nodes,
+      CASE WHEN NOT is_info THEN NULL WHEN len(said) = 0 THEN 'missing' WHEN len(said) > 1 THEN 'ambiguous' WHEN nodes IS NULL THEN 'overflow' WHEN nodes < 0 THEN 'negative' ELSE 'present' END AS node_evidence
+    FROM v""",
 )
 def _(spark, sf_dir):
-    lines = _log(spark, sf_dir).select(F.col("seq").alias("event_id"), log_line(F.col("line")).alias("p"))
+    """The SQL reads the text of each line by regular expressions."""
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "event_id % 1300 + 1 AS n", "CAST(floor(coalesce(value, 0D)) AS BIGINT) - 50 AS c")
+    lines = events.select("event_id", log_line(F.expr(_LINE)).alias("p"))
     return lines.select("event_id", "p.is_info", "p.depth", "p.kind", "p.raw", "p.bound", F.array_join("p.pv", " ").alias("pv"), "p.parse_error", "p.nodes", "p.node_evidence")
 
 

@@ -1,6 +1,7 @@
 """Log lines, attempts, datasets and exports on literals."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -29,6 +30,9 @@ from granary.sources import datasets as D
         ("info foo 3 score cp 3 nodes 2", {"parse_error": "unknown_info_field:foo", "nodes": 2}),
         ("info score mate + nodes -4", {"raw": "+", "node_evidence": "negative", "nodes": -4}),
         ("info nodes 1x score cp", {"node_evidence": "malformed", "parse_error": "malformed_score", "malformed_scores": 1}),
+        ("info depth 99999999999999999999999 score cp 5 pv a", {"depth": None, "kind": "cp", "parse_error": "overflow_depth_value"}),
+        ("info nodes 9223372036854775808 time -0009223372036854775808", {"nodes": None, "node_verdicts": ["overflow"], "node_evidence": "overflow", "time": -(1 << 63)}),
+        ("info nps " + "9" * 9000, {"nps": None, "parse_error": "overflow_nps_value"}), ("info depth " + "0" * 9000 + "7", {"depth": 7, "parse_error": None}),
         ("info depth", {"parse_error": "missing_depth_value"}), ("info string score cp 9", None), ("info", None), ("bestmove 7g7f", None), (None, None),
     ],
 )
@@ -160,3 +164,15 @@ def test_sentences(spark):
     assert len(r.a) == len(r.b) == 40 and sorted(x ^ 1 for x in r.a) == sorted(r.b) and r.m == 0 and r.a == sorted(r.a)
     promoted = spark.createDataFrame([("+r3k4/9/9/9/9/9/9/9/4K4 b 2pB 1",)], "s string").select(B.active_features(F.col("s"), 0).alias("a"), B.material(F.col("s")).alias("m")).first()
     assert promoted.a[0] == 13 * 2 + 1 and promoted.a[-3:] == [2268 + 34, 2268 + 76, 2268 + 77] and promoted.m == 890 - 1300 - 200
+
+
+def test_no_line_stops_a_job(spark):
+    """Lines of random words of the format, numbers of any size among them, and what is observed of them."""
+    r = random.Random(7)
+    words = ["depth", "seldepth", "time", "nodes", "nps", "multipv", "score", "cp", "mate", "lowerbound", "pv", "string", "currmove", "7g7f", "x", "+", "-", "-0", "3", "-9223372036854775808", "9" * 25, "-" + "8" * 5000, "1200", "é", "\x00"]
+    lines = ["info " + " ".join(r.choice(words) for _ in range(r.randrange(12))) for _ in range(2000)]
+    lines += ["info depth 1 nodes 5 score cp -9223372036854775808 pv 7g7f", "info score mate -9223372036854775808 nodes 5 pv 7g7f"]
+    rows = [(i // 4, 10 * i + k, d, x, 0) for i, line in enumerate(lines) for k, (d, x) in enumerate([("send", "go nodes 1200"), ("receive", line), ("receive", "bestmove 7g7f")])]
+    events = spark.createDataFrame(rows, "attempt long, seq long, direction string, line string, offset_ns long")
+    plan = events.selectExpr("attempt", "attempt % 2 = 0 AS first_side", "1200L AS requested_nodes", "'candidate' AS engine", "'normal' AS position_type", "false AS in_check", "30 AS legal_moves", "CAST(NULL AS STRING) AS sole_move", "CAST(array() AS ARRAY<STRING>) AS mating_moves").distinct()
+    assert len(A.observe(events, plan).collect()) == plan.count() == len({a for a, *_ in rows})
