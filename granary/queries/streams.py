@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary.operators.relations import frontier
 from granary.session import scratch_folder, table
 from granary.streaming.events import ingest, last_window, state_folder
+from granary.streaming.windows import append, read_gathered, read_windows, windowed
 
 from . import Registry
 
@@ -72,3 +73,41 @@ def _(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     started = ev.where("event_type = 'signup'").groupBy("user_id").agg(F.max("event_id").alias("go"))
     return ev.join(started, "user_id").where("event_id >= go").groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
+
+
+def _streamed(spark, sf_dir):
+    """The events arrive as files in three parts by time; the stream stops after each, and a new one resumes from its checkpoint."""
+    source, sink, state = (scratch_folder(spark, x) for x in ("arrivals", "sink", "state"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    first, last = (F.unix_micros(f("ts")) for f in (F.min, F.max))
+    span = rows.agg(first.alias("a"), last.alias("b")).first()
+    if span.a is None:
+        rows.write.parquet(source)
+    else:
+        part = F.least(F.lit(2), F.floor((F.unix_micros("ts") - span.a) * 3 / (span.b - span.a + 1)))
+    for k in range(3):
+        if span.a is not None:
+            rows.where(part == k).write.mode("append").parquet(source)
+        stream = windowed(spark.readStream.schema(rows.schema).parquet(source), "user_id", "ts", "event_id", "event_type", "signup", "1 hour")
+        append(stream, sink, state)
+    return spark.read.schema("user_id bigint, at bigint, id bigint, kind string, start_at bigint, start_id bigint").parquet(sink)
+
+
+@query(
+    "str03_streamed_window",
+    """
+    WITH g AS (SELECT user_id, max((ts, event_id)) AS go FROM events WHERE event_type = 'signup' GROUP BY 1),
+    a AS (SELECT e.* FROM events e LEFT JOIN g USING (user_id) WHERE go IS NULL OR (e.ts, e.event_id) > go),
+    s AS (SELECT user_id, min((ts, event_id)) AS stop FROM a WHERE event_type = 'purchase' GROUP BY 1)
+    SELECT event_id, user_id, event_type FROM a LEFT JOIN s USING (user_id) WHERE stop IS NULL OR (ts, event_id) < stop""",
+)
+def _(spark, sf_dir):
+    """The windows of str03_marker_window, from a stream with keyed state."""
+    found = read_windows(_streamed(spark, sf_dir), "user_id", F.col("kind") == "purchase")
+    return found.select(F.col("id").alias("event_id"), "user_id", F.col("kind").alias("event_type"))
+
+
+@query("str04_streamed_reset", "WITH m AS (SELECT user_id, max((ts, event_id)) AS go FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT e.user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events e JOIN m USING (user_id) WHERE (ts, event_id) >= go GROUP BY 1")
+def _(spark, sf_dir):
+    """What each user has gathered since the last event that starts anew, from a stream with keyed state."""
+    return read_gathered(_streamed(spark, sf_dir), "user_id")
