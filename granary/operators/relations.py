@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.session import checkpointed
@@ -94,26 +98,51 @@ def violations(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.col("n").alias("n_rows"), F.col(k).alias("n_violations")) for k in checks])))
 
 
-def pick_exclusive(candidates: DataFrame, buckets: list[str], per_bucket: int, bound: int = 100_000) -> list[tuple[str, str, str, str]]:
-    """Greedy selection (bucket, id, a, b) in rank order, an entity (a or b) at most once over all buckets (TOP-02).
+def pick_exclusive(candidates: DataFrame, buckets: list[str], per_bucket: int) -> DataFrame:
+    """(bucket, id, a, b): greedy selection in rank order, bucket by bucket, an entity (a or b) at most once over all buckets (TOP-02).
 
-    Each choice depends on all before it, so the loop is sequential. Candidates (bucket, rank, id, a, b) must be a shortlist:
-    more than `bound` rows are an error, never cut. So is a bucket that the candidates can't fill.
+    candidates: (bucket, rank, id, a, b), ranks unique in a bucket; one with a null entity is never chosen. A candidate that ranks first among all that share an
+    entity with it is chosen by the greedy rule whatever the others do; so a round takes all of these at once, drops those
+    that share an entity with them, and goes on with the rest. As only the first `per_bucket` count, candidates that rank
+    after so many chosen ones are dropped too. A round is two aggregates and two joins and cuts its lineage; a bucket that
+    can't be filled is an error. The driver holds a rank and a count a round.
     """
-    rows = candidates.orderBy("bucket", "rank").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"over {bound} candidates")
-    used, chosen = set(), []
+    spark = candidates.sparkSession
+    schema = candidates.select("bucket", "id", "a", "b").schema
+    picked: list[DataFrame] = []
+    used: DataFrame | None = None
+
+    def entities(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode(F.array("a", "b")).alias("entity"))
+
+    def without(rows: DataFrame, taken: DataFrame) -> DataFrame:
+        return rows.join(taken.withColumnRenamed("entity", "a"), "a", "left_anti").join(taken.withColumnRenamed("entity", "b"), "b", "left_anti")
+
     for bucket in buckets:
-        taken = 0
-        for r in rows:
-            if r.bucket == bucket and taken < per_bucket and not used & {r.a, r.b}:
-                used |= {r.a, r.b}
-                chosen.append((bucket, r.id, r.a, r.b))
-                taken += 1
-        if taken < per_bucket:
-            raise ValueError(f"only {taken} of {per_bucket} candidates satisfy bucket {bucket}")
-    return chosen
+        left = candidates.where(F.col("bucket") == bucket).select("rank", "id", "a", "b")
+        left, chosen = (without(left, used) if used else left), None
+        while True:
+            first = left.select("rank", F.explode(F.array("a", "b")).alias("entity")).groupBy("entity").agg(F.min("rank").alias("best"))
+            firsts = left.join(first.select(F.col("entity").alias("a"), F.col("best").alias("best_a")), "a").join(first.select(F.col("entity").alias("b"), F.col("best").alias("best_b")), "b")
+            round_ = checkpointed(firsts.withColumn("now", (F.col("rank") == F.col("best_a")) & (F.col("rank") == F.col("best_b"))).select("rank", "id", "a", "b", "now"))
+            now = round_.where("now").drop("now")
+            chosen = now if chosen is None else checkpointed(chosen.unionByName(now))
+            last = chosen.orderBy("rank").limit(per_bucket).agg(F.count("*").alias("n"), F.max("rank").alias("rank")).first()
+            left = without(round_.where("NOT now").drop("now"), entities(now).distinct())
+            if last.n == per_bucket:  # those after the last of them can't be among the first
+                left = left.where(F.col("rank") < last.rank)
+            left = checkpointed(left)
+            if left.isEmpty():
+                break
+        if last.n < per_bucket:
+            raise ValueError(f"only {last.n} of {per_bucket} candidates satisfy bucket {bucket}")
+        best = checkpointed(chosen.where(F.col("rank") <= last.rank).select(F.lit(bucket).alias("bucket"), "id", "a", "b"))
+        picked.append(best)
+        used = entities(best) if used is None else checkpointed(used.unionByName(entities(best)))
+    result = spark.createDataFrame([], schema)
+    for rows in picked:
+        result = result.unionByName(rows)
+    return result
 
 
 def field_mismatches(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -244,24 +273,76 @@ def frontier(shares: DataFrame, start: DataFrame, target: int | None = None) ->
 MULTIPLIER, INCREMENT, MIX = 6_364_136_223_846_793_005, 1_442_695_040_888_963_407, 0xD1B54A32D192ED03
 
 
-def seeded_permutation(rows: DataFrame, order: str, seed: int, bound: int = 1_000_000) -> DataFrame:
+def ranked(rows: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
+    """rows with their places, from 0, in a total order: a range-partitioned sort, written once, and the rows of the partitions before.
+
+    Only a number for each partition reaches the driver; the result reads a table in the shared folder.
+    """
+    placed = checkpointed(rows.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
+    part, at = F.shiftrightunsigned("__place", 33), 0
+    before = []
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        before.append((r.part, at))
+        at += r["count"]
+    offsets = rows.sparkSession.createDataFrame(before, "__part long, __before long")
+    joined = placed.join(F.broadcast(offsets), part == F.col("__part"))
+    return joined.withColumn(rank, F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__place", "__part", "__before")
+
+
+def generator_draws(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """(step, other) for steps n - 1 to 1: the generator's draw for each, modulo step + 1.
+
+    A draw depends on its number alone: after t draws the state is an affine function of the first, which is reached by
+    doubling. Each task skips to its steps and goes on from there in 64-bit words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column(0).to_numpy()  # t-th draw, from 0, of a run of numbers
+            if len(t):
+                power, add, base, plus, k = 1, 0, MULTIPLIER, INCREMENT, int(t[0])
+                while k:
+                    if k & 1:
+                        power, add = power * base % 2**64, (add * base + plus) % 2**64
+                    base, plus, k = base * base % 2**64, plus * (base + 1) % 2**64, k >> 1
+                start = (power * ((seed ^ MIX) % 2**64) + add) % 2**64
+                powers = np.multiply.accumulate(np.full(len(t), MULTIPLIER, np.uint64))
+                sums = np.add.accumulate(np.concatenate([[np.uint64(1)], powers[:-1]]))
+                state = powers * np.uint64(start) + np.uint64(INCREMENT) * sums
+                step = n - 1 - t
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array((state % (step + 1).astype(np.uint64)).astype(np.int64))], names=["step", "other"])
+
+    return spark.range(max(0, n - 1)).mapInArrow(run, "step long, other long")
+
+
+def seeded_permutation(rows: DataFrame, order: str, seed: int) -> DataFrame:
     """(order, at): the place of each row, taken in ascending order of a unique column, after a Fisher-Yates shuffle by the generator (TOP-07).
 
-    Each swap depends on all before it, so the permutation is made on the driver, for `bound` rows at most; more are an
-    error. For larger tables sort by a seeded hash (functions.scalar.seeded_rank).
+    Step i, from the last place down to 1, swaps places i and h(i) <= i, and place i is never touched again. So it ends with
+    what h(i) held just before: what the nearest earlier step k > i with h(k) = h(i) put there, which is what place k held
+    before step k, or else h(i) itself, the first content. What place k held before its step is found in the same way from
+    the nearest earlier step that drew k. These links form chains of logarithmic length, followed for all places at once by
+    doubling: a few joins, for any number of rows.
     """
-    n = rows.select(order).limit(bound + 1).count()
-    if n > bound:
-        raise ValueError(f"over {bound} rows")
-    places, state = list(range(n)), (seed ^ MIX) % 2**64
-    for last in reversed(range(1, n)):
-        state = (state * MULTIPLIER + INCREMENT) % 2**64
-        other = state % (last + 1)
-        places[last], places[other] = places[other], places[last]
+    numbered = ranked(rows.select(order), [F.asc(order)], "index")
+    n = numbered.count()
     spark = rows.sparkSession
-    at = spark.createDataFrame([(index, place) for place, index in enumerate(places)], "index int, at int")
-    numbered = rows.select(order, (F.row_number().over(Window.orderBy(order)) - 1).alias("index"))
-    return numbered.join(at, "index").select(order, "at")
+    draws = checkpointed(generator_draws(spark, n, seed))
+    proper = draws.where("step <> other")
+    places = spark.range(n).select(F.col("id").alias("place"))
+    link = proper.groupBy(F.col("other").alias("place")).agg(F.min("step").alias("to"))  # the nearest earlier step that drew the place
+    chain = checkpointed(places.join(link, "place", "left").select("place", F.coalesce("to", "place").alias("to")))
+    moved = chain.where("place <> to").count()
+    while moved:
+        further = chain.select(F.col("place").alias("to"), F.col("to").alias("beyond"))
+        longer = checkpointed(chain.join(further, "to").select("place", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")))
+        chain, moved = longer.drop("moved"), longer.where("moved").count()
+    held = chain.select(F.col("place").alias("step"), F.col("to").alias("held"))  # by each place before its step
+    earlier = F.min("step").over(Window.partitionBy("other").orderBy("step").rowsBetween(1, 1))
+    source = proper.withColumn("source", earlier).select("step", F.coalesce("source", F.lit(-1)).alias("source"), "other")
+    found = source.join(held.withColumnRenamed("step", "source"), "source", "left").select(F.col("step").alias("at"), F.coalesce("held", "other").alias("index"))
+    still = held.join(proper.select("step"), "step", "left_anti").select(F.col("step").alias("at"), F.col("held").alias("index"))  # place 0, and steps that swapped nothing
+    return numbered.join(found.unionByName(still), "index").select(order, F.col("at").cast("int" if n < 1 << 31 else "long").alias("at"))
 
 
 def input_digests(inputs: dict[str, DataFrame]) -> DataFrame:

@@ -130,13 +130,8 @@ def _(spark, sf_dir):
 
 @query("top07_seeded_permutation", "SELECT item_id, CAST(row_number() OVER (ORDER BY sha256('shuffle' || chr(0) || item_id)) AS INTEGER) AS at FROM benchmark")
 def _(spark, sf_dir):
-    # a global order of the benchmark's items: range-partitioned sort, then ranks from the sizes of the ranges before
-    ranked = table(spark, sf_dir, "benchmark").select("item_id", seeded_rank("shuffle", F.col("item_id")).alias("r"))
-    ranked = ranked.withColumn("range", F.substring("r", 1, 2))
-    sizes = ranked.groupBy("range").agg(F.count("*").alias("n"))  # 256 rows at most
-    before = sizes.select("range", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("range").orderBy("r"))
-    return ranked.withColumn("within", within).join(F.broadcast(before), "range").select("item_id", (F.col("before") + F.col("within")).cast("int").alias("at"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", seeded_rank("shuffle", F.col("item_id")).alias("r"))
+    return R.ranked(items, [F.asc("r")], "at").select("item_id", (F.col("at") + 1).cast("int").alias("at"))
 
 
 @query(
@@ -181,11 +176,9 @@ def _(spark, sf_dir):
     SELECT bucket, id, a, b FROM s JOIN c USING (i, bucket) WHERE ok""",
 )
 def _(spark, sf_dir):
-    """The shortlist: the best-ranked order of each priority and nation; an entity is a customer's nation or the customer."""
+    """An entity is a customer's nation or the customer; all orders are candidates."""
     both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
     both = both.select(F.col("o_orderpriority").alias("bucket"), seeded_rank("pick", F.col("o_orderkey")).alias("rank"), F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("a"), F.concat(F.lit("s"), "c_custkey").alias("b"))
-    # A customer has one nation, so a nation that is free has all its customers free: its best-ranked order goes before its others.
-    short = both.groupBy("bucket", "a").agg(F.min(F.struct("rank", "id", "b")).alias("best")).select("bucket", "best.rank", "best.id", "a", "best.b")
     from granary.plans.scoring import GAMES
 
-    return spark.createDataFrame(R.pick_exclusive(short, GAMES, 3), "bucket string, id string, a string, b string")
+    return R.pick_exclusive(both, GAMES, 3)

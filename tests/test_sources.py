@@ -79,8 +79,6 @@ def test_relations(spark):
     rows = spark.createDataFrame([("k", "train", 1), ("k", "holdout", 2), ("m", "train", 3), ("m", "train", 4)], "k string, split string, i int")
     assert sorted(r.i for r in R.drop_shared(rows, ["k"], "split").collect()) == [3, 4]
     assert sorted(r.i for r in R.keep_first(rows, ["k"], ["i"]).collect()) == [1, 3]
-    with pytest.raises(ValueError):
-        R.pick_exclusive(spark.range(3).selectExpr("'x' bucket", "id rank", "string(id) id", "'a' a", "'b' b"), ["x"], 1, bound=2)
 
 
 def test_streams(spark, tmp_path):
