@@ -220,17 +220,6 @@ def union_exact(left: DataFrame, right: DataFrame, key: str, value: str) -> Data
     return one.select(key, F.when(F.coalesce(clash, F.lit(False)), error).otherwise(F.col("__a")).alias(value))
 
 
-def strictly_equal(left: Column, right: Column) -> Column:
-    """Whether two JSON texts hold the same value with the same types: true is not 1, 1 is not 1.0; the order of keys is free, of lists it is not (DQ-20)."""
-    def canonical(texts):
-        import json
-
-        return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True))
-
-    udf = F.pandas_udf(canonical, "string")
-    return udf(left) == udf(right)
-
-
 def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that one side has more often than the other, once for each time; none if the bags are equal (DQ-09)."""
     return left.exceptAll(right).unionByName(right.exceptAll(left))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import boards as B
 from granary.functions.scalar import canonical_json, position_key
 from granary.operators import evaluation as E
+from granary.operators import nested as N
 from granary.operators import relations as R
 from granary.session import table
 from granary.sources import datasets as D
@@ -234,12 +235,32 @@ def _(spark, sf_dir):
     return R.union_exact(left, table(spark, sf_dir, "customer").selectExpr("c_custkey AS key", "c_custkey * 2 AS value"), "key", "value")
 
 
-@query("dq20_strict_equality", "SELECT c_custkey, c_custkey % 4 = 0 AS equal FROM customer")
+#: Two texts of one customer: nested, with the differences that the key's remainders bring. In Spark's and DuckDB's SQL alike.
+_LEFT = """concat('{"id":', c_custkey, ',"name":"', c_name, '","tags":[1,2,{"seg":"', c_mktsegment, '","deep":[[', c_nationkey, '],{}]}],"rate":1.50,"open":true,"none":null}')"""
+_RIGHT = """concat('{"open":', CASE WHEN c_custkey % 5 = 1 THEN '1' ELSE 'true' END, ',"rate":', CASE WHEN c_custkey % 7 = 2 THEN '1.25' ELSE '1.5' END, ',"id":', c_custkey, CASE WHEN c_custkey % 3 = 1 THEN '.0' ELSE '' END,
+    ',"name":"', c_name, '","tags":[', CASE WHEN c_custkey % 4 = 3 THEN '2,1' ELSE '1,2' END, ',{"deep":[[', c_nationkey, CASE WHEN c_custkey % 6 = 5 THEN ',7' ELSE '' END, '],{}],"seg":"', CASE WHEN c_custkey % 8 = 4 THEN 'X' ELSE c_mktsegment END, '"}]', CASE WHEN c_custkey % 9 = 8 THEN '' ELSE ',"none":null' END, '}')"""
+_FLAT = """(SELECT c_custkey, replace(regexp_replace(replace(t.fullkey, '$', ''), '[.\\[]', '/', 'g'), ']', '') AS path,
+      CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'DOUBLE' THEN 'double' ELSE 'integer' END AS kind,
+      CASE WHEN t.type = 'VARCHAR' THEN t.atom ->> '$' WHEN t.type = 'DOUBLE' THEN CAST(CAST(t.atom AS DOUBLE) AS VARCHAR) WHEN t.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN CAST(t.atom AS VARCHAR) END AS value FROM customer, json_tree(CAST({} AS JSON)) t)""".replace("\\\\", "\\")
+_DIFFERENCES = f"""SELECT c_custkey, path, CASE WHEN a.kind IS NULL THEN 'added' WHEN b.kind IS NULL THEN 'removed' WHEN a.kind <> b.kind THEN 'retyped' ELSE 'changed' END AS change,
+      a.kind AS left_kind, a.value AS left_value, b.kind AS right_kind, b.value AS right_value
+    FROM {_FLAT.format(_LEFT)} a FULL JOIN {_FLAT.format(_RIGHT)} b USING (c_custkey, path) WHERE a.kind IS DISTINCT FROM b.kind OR a.value IS DISTINCT FROM b.value"""
+
+
+def _texts(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(_LEFT).alias("a"), F.expr(_RIGHT).alias("b"))
+
+
+@query("dq14_structural_differences", f"SELECT * FROM ({_DIFFERENCES}) WHERE NOT (path = '/rate' AND change = 'changed' OR regexp_matches(path, '^/tags/[0-9]+$') AND change = 'changed')")
+def _(spark, sf_dir):
+    """Added, removed, retyped and changed paths of nested records; another rate and another number among the tags are allowed. The SQL reads the JSON texts."""
+    allowed = spark.createDataFrame([("/rate", "changed"), ("/tags/*", "changed")], "shape string, change string")
+    return N.differences(_texts(spark, sf_dir), "c_custkey", "a", "b", allowed)
+
+
+@query("dq20_strict_equality", f"SELECT c_custkey, c_custkey NOT IN (SELECT c_custkey FROM ({_DIFFERENCES})) AS equal FROM customer")
 def _(spark, sf_dir):
-    """The same object with its keys in another order; with true for 1; with 1.0 for 1; with its list in another order."""
-    a = F.expr("""concat('{"k":1,"l":[1,2],"s":"', c_custkey, '"}')""")
-    b = F.expr("""CASE c_custkey % 4 WHEN 0 THEN concat('{"s":"', c_custkey, '", "l":[1, 2], "k":1}') WHEN 1 THEN concat('{"k":true,"l":[1,2],"s":"', c_custkey, '"}') WHEN 2 THEN concat('{"k":1.0,"l":[1,2],"s":"', c_custkey, '"}') ELSE concat('{"k":1,"l":[2,1],"s":"', c_custkey, '"}') END""")
-    return table(spark, sf_dir, "customer").select("c_custkey", R.strictly_equal(a, b).alias("equal"))
+    return N.strictly_equal(_texts(spark, sf_dir), "c_custkey", "a", "b")
 
 
 @query("agg03_exact_equal_group_mean", "WITH g AS (SELECT l_returnflag, CAST(sum(CAST(l_quantity AS BIGINT)) AS HUGEINT) AS s, count(*)::HUGEINT AS n FROM lineitem GROUP BY 1), p AS (SELECT product(n)::HUGEINT AS den, count(*) AS k FROM g) SELECT CAST(sum(s * (den // n)) AS VARCHAR) AS numerator, CAST(any_value(den * k) AS VARCHAR) AS denominator FROM g, p")
