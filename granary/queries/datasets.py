@@ -87,7 +87,13 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", canonical_json(*[parts[k].alias(k) for k in sorted(parts)]).alias("line"))
 
 
-@query("agg34_inventory_digest", "SELECT count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS bytes, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (SELECT n_chars, concat_ws(' ', 'doc-' || doc_id, n_chars, sha256(text)) AS line FROM documents)")
+@query(
+    "agg34_inventory_digest",
+    """WITH f AS (SELECT substr(sha256('doc-' || doc_id), 1, 4) AS p, n_chars, concat_ws(' ', 'doc-' || doc_id, n_chars, sha256(text)) AS line FROM documents),
+    l AS (SELECT p, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM f GROUP BY 1),
+    n AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(concat_ws(' ', p, digest), chr(10) ORDER BY p)) AS digest FROM l GROUP BY substr(p, 1, 2))
+    SELECT (SELECT count(*) FROM f) AS n_files, (SELECT CAST(sum(n_chars) AS BIGINT) FROM f) AS bytes, sha256(string_agg(concat_ws(' ', p, digest), chr(10) ORDER BY p)) AS digest FROM n""",
+)
 def _(spark, sf_dir):
     """Documents are files; the real inventory of a folder is sources.datasets.inventory()."""
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("name"), F.col("n_chars").alias("bytes"), F.sha2("text", 256).alias("sha256"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.operators import evaluation as E
+from granary.operators.fitting import fit_rows, sparse_gram
 from granary.operators.relations import repeatability
 from granary.plans.scoring import GAMES, SQL, STATUSES, scores
 from granary.session import table
@@ -236,3 +237,49 @@ def _(spark, sf_dir):
     d = e.agg(*[F.expr(x) for x in ("sum(abs(err)) filter (where first_side) a", "count(err) filter (where first_side) na", "sum(abs(err)) filter (where not first_side) b", "count(err) filter (where not first_side) nb", "count_if(first_side and abs(err) <= 300) ha", "count_if(not first_side and abs(err) <= 300) hb")])
     # cross products of integers: an exact comparison of fractions
     return d.select(F.expr("CASE WHEN b * na < a * nb AND hb * na >= ha * nb THEN 'adopt' WHEN b * na < a * nb OR hb * na > ha * nb THEN 'hold' ELSE 'reject' END").alias("decision"))
+
+
+#: Sparse rows: the indicator of a supplier's class and, by the line's number, a quantity, a discount or both.
+_MODE = "CAST(l_suppkey % 7 AS INTEGER)"
+
+
+@query(
+    "agg28_sparse_gram",
+    f"""WITH r AS (SELECT {_MODE} AS m, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_discount * 100) AS BIGINT) AS d, l_linenumber % 3 AS k, CAST(floor(l_extendedprice) AS BIGINT) % 2000 - 900 AS y, row_number() OVER () AS row FROM lineitem),
+    f AS (SELECT row, m AS i, 1::BIGINT AS z, y FROM r UNION ALL SELECT row, 7, q, y FROM r WHERE k <> 2 UNION ALL SELECT row, 8, d, y FROM r WHERE k <> 0)
+    SELECT a.i, b.i AS j, CAST(sum(a.z * b.z) AS BIGINT) AS s FROM f a JOIN f b ON a.row = b.row AND a.i <= b.i GROUP BY 1, 2 HAVING sum(a.z * b.z) <> 0
+    UNION ALL SELECT i, -1, CAST(sum(z * y) AS BIGINT) FROM f GROUP BY 1 HAVING sum(z * y) <> 0""",
+)
+def _(spark, sf_dir):
+    """Exact sums over sparse rows, after a proof that none can pass 2^53."""
+    return sparse_gram(_sparse(spark, sf_dir), "i", "z", "y", 9)
+
+
+def _sparse(spark, sf_dir):
+    mode, q, d = "CAST(l_suppkey % 7 AS INT)", "CAST(l_quantity AS BIGINT)", "CAST(round(l_discount * 100) AS BIGINT)"
+    i = f"CASE l_linenumber % 3 WHEN 0 THEN array({mode}, 7) WHEN 1 THEN array({mode}, 7, 8) ELSE array({mode}, 8) END"
+    z = f"CASE l_linenumber % 3 WHEN 0 THEN array(1L, {q}) WHEN 1 THEN array(1L, {q}, {d}) ELSE array(1L, {d}) END"
+    return table(spark, sf_dir, "lineitem").selectExpr(f"{i} AS i", f"{z} AS z", "CAST(floor(l_extendedprice) AS BIGINT) % 2000 - 900 AS y")
+
+
+#: Ridge, prior, and the cap of 2 w0 + 3 w1.
+_RIDGE, _PRIOR, _CAP = 2.0, (1.0, 4.0), 60.0
+
+
+@query(
+    "num02_constrained_ridge",
+    f"""WITH s AS (SELECT avg(q * q) + {_RIDGE} AS a, avg(q * d) AS b, avg(d * d) + {_RIDGE} AS c, avg(q * y) + {_RIDGE * _PRIOR[0]} AS p, avg(d * y) + {_RIDGE * _PRIOR[1]} AS r
+      FROM (SELECT CAST(l_quantity AS DOUBLE) AS q, CAST(round(l_discount * 100) AS DOUBLE) AS d, CAST(CAST(floor(l_extendedprice) AS BIGINT) % 2000 AS DOUBLE) AS y FROM lineitem)),
+    o AS ( -- the unconstrained point, and the best of each edge
+      SELECT (c * p - b * r) / (a * c - b * b) AS x, (a * r - b * p) / (a * c - b * b) AS z FROM s
+      UNION ALL SELECT 0, least(greatest(r / c, 0), {_CAP} / 3) FROM s
+      UNION ALL SELECT least(greatest(p / a, 0), {_CAP} / 2), 0 FROM s
+      UNION ALL SELECT x, ({_CAP} - 2 * x) / 3 FROM (SELECT least(greatest((p - 2 * r / 3 - b * {_CAP} / 3 + 4 * c * {_CAP} / 18) / (a - 4 * b / 3 + 4 * c / 9), 0), {_CAP} / 2) AS x FROM s)),
+    w AS (SELECT x, z FROM o, s WHERE x >= -1e-9 AND z >= -1e-9 AND 2 * x + 3 * z <= {_CAP} + 1e-9 ORDER BY a * x * x + 2 * b * x * z + c * z * z - 2 * p * x - 2 * r * z LIMIT 1)
+    SELECT 0 AS feature, round(x, 3) AS weight FROM w UNION ALL SELECT 1, round(z, 3) FROM w""",
+)
+def _(spark, sf_dir):
+    """Two features, weights of 0 or more and a weighted cap; the SQL compares the edges of the triangle."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("array(0, 1) AS i", "array(CAST(l_quantity AS BIGINT), CAST(round(l_discount * 100) AS BIGINT)) AS z", "CAST(floor(l_extendedprice) AS BIGINT) % 2000 AS y")
+    found = fit_rows(rows, "i", "z", "y", 2, _RIDGE, list(_PRIOR), [([0, 1], [2.0, 3.0], _CAP)])
+    return found.select("feature", F.round("weight", 3).alias("weight"))

@@ -24,9 +24,21 @@ def write_json_lines(rows: DataFrame, path: str, *by: str) -> None:
 
 
 def inventory_digest(files: DataFrame) -> DataFrame:
-    """One row (n_files, bytes, digest): the digest is of the files' names, sizes and hashes, whatever their order; a row for each file is all it gathers (AGG-34)."""
-    rows = F.array_sort(F.collect_list(F.concat_ws(" ", "name", "bytes", "sha256")))
-    return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sha2(F.array_join(rows, "\n"), 256).alias("digest"))
+    """One row (n_files, bytes, digest) of the files' names, sizes and hashes, whatever their order (AGG-34).
+
+    The digest is a tree by the first hex digits of the names' SHA-256: each of up to 65,536 leaves digests its sorted lines,
+    each of up to 256 nodes its sorted leaves, and the root its nodes. So no group gathers more than a 65,536th part of the files.
+    """
+    total = {"n": F.coalesce(F.sum("n"), F.lit(0)).cast("long"), "bytes": F.coalesce(F.sum("bytes"), F.lit(0))}
+    rows = files.select(F.substring(F.sha2("name", 256), 1, 4).alias("at"), F.lit(1).alias("n"), "bytes", F.concat_ws(" ", "name", "bytes", "sha256").alias("line"))
+
+    def digested(by: list[str]) -> DataFrame:
+        lines = F.array_join(F.array_sort(F.collect_list("line")), "\n")
+        return rows.groupBy(*by).agg(*[c.alias(k) for k, c in total.items()], F.sha2(lines, 256).alias("digest"))
+
+    for digits in (4, 2):
+        rows = digested(["at"]).select(F.substring("at", 1, digits - 2).alias("at"), "n", "bytes", F.concat_ws(" ", "at", "digest").alias("line"))
+    return digested([]).select(F.col("n").alias("n_files"), "bytes", "digest")
 
 
 def write_dataset(positions: DataFrame, labels: DataFrame, games: DataFrame, path: str) -> DataFrame:
