@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,11 @@ from pyspark.sql import functions as F
 from .boosting import Boosted, boost
 from .common import slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|<[!?/][^>]*>?", re.S)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*>?", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: The rest of a tag of usual length, quoted values being free.
+REST = re.compile(r"""((?>[^>"']|"[^"]{0,500}"|'[^']{0,500}'){0,500}+)>""")
+MARK = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements that are blocks, that have no content, whose content is no text, and whose content is skipped.
 BLOCKS = set(
@@ -37,7 +42,11 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in "script style textarea title xmp iframe noembed noframes".split()}
-SKIPPED = set("head noscript template svg math object select button canvas audio video datalist".split())
+HIDDEN = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in ("noscript", "template")}
+SKIPPED = set("head noscript template svg math select button canvas audio video datalist".split())
+#: What may stand in a head, so that any other element ends it; HTML elements that end an open svg or math.
+IN_HEAD = set("head html base basefont bgsound link meta title noscript noframes style script template".split())
+ENDS_FOREIGN = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article section main nav aside header footer form".split())
 #: An open element that a start tag of these closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tr", "td", "th"}}
 TAGS = ["p", "h", "li", "div", "article", "section", "main", "nav", "aside", "header", "footer", "form", "table", "text", "quote", "cell"]
@@ -64,6 +73,44 @@ def read_attributes(attributes: str) -> tuple[bool, tuple[int, ...]]:
     return hidden, tuple(sorted(zlib.crc32(t.encode()) % TOKENS for t in tokens))
 
 
+class Tags:
+    """The tags of a page, from any place on; in time linear in the page.
+
+    A tag ends at the first `>` outside quotes, or at the first at all if there is none. A `<` after the last `>` is text.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.marks: list[int] | None = None
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, closing, name, attributes) of the next tag, or, without a name, comment or declaration."""
+        source = self.source
+        while (at := source.find("<", at)) >= 0:
+            if m := NAME.match(source, at) if at < self.last else None:
+                rest = REST.match(source, m.end()) if self.marks is None else None
+                if end := rest.end() if rest else self._end(m.end()) + 1:
+                    return at, end, m[1], m[2].lower(), source[m.end() : end - 1]
+            elif m := COMMENT.match(source, at):
+                return at, m.end(), "", "", ""
+            at += 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The `>` of a tag of unusual length. From the first of these on, all are looked up: they are found at once, from the page's end on."""
+        if self.marks is None:
+            self.marks = [m.start() for m in MARK.finditer(self.source)]
+            self.ends = [-1] * (len(self.marks) + 1)  # of a tag whose rest begins before the mark, outside quotes
+            after: dict[str, int] = {}  # the next quote of each kind
+            for k in range(len(self.marks) - 1, -1, -1):
+                c = self.source[self.marks[k]]
+                self.ends[k] = self.marks[k] if c == ">" else self.ends[after[c] + 1] if c in after else -1
+                if c != ">":
+                    after[c] = k
+        end = self.ends[bisect_left(self.marks, at)]
+        return end if end >= 0 else self.source.find(">", at)
+
+
 class Page:
     """Nodes in page order: parent, kind, depth, end of the subtree, kinds above, tokens, and for text blocks the text and its characters in links."""
 
@@ -75,20 +122,32 @@ class Page:
         self._open_tags: Counter[str] = Counter()
         self._parts: list[str] = []
         self._links, self._link_at = 0, 0  # characters in links; the depth of the stack at which a link began
-        at, skip, depth = 0, "", 0
-        for m in iter(lambda: TOKEN.search(source, at), None):
-            if m.start() > at and not skip:
-                self._put(source[at : m.start()])
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
+        at, skip, depth, inner = 0, "", 0, 0  # inner: open elements of HTML inside an svg
+        tags, unclosed = Tags(source), set()
+        while tag := tags.next(at):
+            start, stop, closing, name, attributes = tag
+            if start > at and not skip:
+                self._put(source[at:start])
+            at = stop
             if not name:
                 continue
-            closing, attributes = m[1] or m[4], m[3] or m[6] or ""
             if skip:
                 if name == skip:
                     depth += -1 if closing else 1
                     skip = skip if depth else ""
-                elif skip == "head" and name == "body":
+                    if closing or skip:
+                        continue
+                elif skip == "head" and name in HIDDEN and not closing and name not in unclosed:
+                    if end := HIDDEN[name].search(source, at):
+                        at = end.end()
+                    else:
+                        unclosed.add(name)
+                    continue
+                elif name == "foreignobject":
+                    inner += -1 if closing else 1
+                elif skip == "head" and (name not in IN_HEAD if not closing else name == "body"):
+                    skip = ""
+                elif not closing and not inner and (skip == "button" and name in BLOCKS or skip in ("svg", "math") and name in ENDS_FOREIGN):
                     skip = ""
             if skip and name not in RAW:
                 continue
@@ -98,7 +157,7 @@ class Page:
                 end = RAW[name].search(source, at)
                 at = end.end() if end else len(source)
             elif name in SKIPPED and not attributes.endswith("/"):
-                skip, depth = name, 1
+                skip, depth, inner = name, 1, 0
             else:
                 self._open(name, attributes)
         if not skip:

@@ -234,16 +234,60 @@ def test_op5_awkward(spark):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<head><title>T</title>", ""), ("<head><meta charset=utf-8><noscript><img src=x>no script</noscript>", ""), ("<body><button>", ""), ("<body><svg><path d='M0'>", ""), ("<body><math><mi>x", ""),
+        ("<body><object data=x>", "</object>"), ("<body><svg><title>s</title><foreignObject><p>in the picture</p></foreignObject></svg>", ""), ("<body><p title='a > b' class=x>", ""), ("<head><template><p>t</p></template></head><body>", ""),
+    ],
+)
+def test_op5_what_browsers_mend(before, after):
+    """An article after elements that aren't closed, or as the fallback of an object, is found as without them."""
+    article = f"<article>{BODY}</article>"
+    assert html_text.main_text([before + article + after], html_text.model()) == html_text.main_text([f"<body>{article}"], html_text.model())
+
+
+def test_op5_tags_end_as_in_a_plain_scan():
+    def plain(source, at):
+        quote = ""
+        for k in range(at, len(source)):
+            c = source[k]
+            if quote:
+                quote = "" if c == quote else quote
+            elif c in "\"'":
+                quote = c
+            elif c == ">":
+                return k
+        return source.find(">", at)
+
+    r = random.Random(9)
+    for _ in range(3000):
+        source = "".join(r.choice(["<a", "<b", ">", '"', "'", " ", "x", "/", "</a"]) for _ in range(r.randrange(30)))
+        slow = html_text.Tags(source)
+        slow._end(0)
+        for tags in (html_text.Tags(source), slow):
+            at = 0
+            while tag := tags.next(at):
+                start, at, _, name, _ = tag
+                assert not name or at == plain(source, start + 1 + len(name) + (source[start + 1] == "/")) + 1
+
+
 def test_op5_long_and_deep_pages():
     """Time in proportion to the length, for markup that browsers mend."""
     own = html_text.model()
-    for unit in ("<i><div>x", "<ul><li>a", "<div></section>y", "<td><div>z", "<p>text <b>"):
+    units = ["<i><div>x", "<ul><li>a", "<div></section>y", "<td><div>z", "<p>text <b>", "<div class='a' ", '<p title="', "<b", '<p a="b>c"', "<p a='\"' >'", '<x "', "</p", "<!-", "<head><noscript>", "<svg><g ", "<script"]
+    for unit in units:
         took = []
         for n in (3_000, 12_000):
             began = time.process_time()
             html_text.main_text(["<body>" + unit * n], own)
             took.append(time.process_time() - began)
         assert took[1] < 9 * took[0] + 1, unit
+    for unit in ("<div class='a' ", '<p title="', "<b", '<p a="b>c"'):  # as much as 240 KB, with and without a last end of a tag
+        for last in ("", ">", '">'):
+            began = time.process_time()
+            html_text.main_text(["<body>" + unit * (240_000 // len(unit)) + last], own)
+            assert time.process_time() - began < 5, unit
     text = html_text.main_text([f"<body><article>{BODY}" + "".join(f"<p>{x}</p>" for x in PROSE) * 2000 + "</article></body>"], own)[0]
     assert text.count("\n") == 12 + 24_000
 
