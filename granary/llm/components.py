@@ -11,7 +11,8 @@ from .common import cut, discard, join_hot
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b), root being the smallest node that can be reached.
 
-    Loops and repeated edges do no harm; an empty table gives an empty result. Null ends are left out.
+    Loops and repeated edges do no harm; an empty table gives an empty result. Null ends are left out. The
+    result reads its `tables`.
     """
     ab = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
     stars, before = cut(ab.distinct(), "stars"), None
@@ -23,7 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    found = stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    found.tables = [stars]
+    return found
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

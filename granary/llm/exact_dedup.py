@@ -30,7 +30,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text is the empty text. Of equal texts the smallest id stays; null ids come last. Of repeated rows (same id,
     same text) exactly one is kept; rows that repeat an id with another text are rows of their own. A very long text has
     more blocks, hence more levels; a row of the blocks table holds one block. An empty table gives an empty result. Other
-    columns are not read, but for the column `carried`, if given, which comes last in the result as it is.
+    columns are not read, but for the column `carried`, if given, which comes last in the result as it is. The result reads
+    two tables of ids, names and digests, dedup-rows and dedup-classes; all others are deleted on the way.
     """
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, " ")
     more = ["more"] if carried else []
@@ -42,9 +43,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     largest, total = meta.agg(F.max(F.size("hashes")), F.sum(F.size("hashes"))).first()
     done = [meta.where(F.size("hashes") == 0).select("row", F.lit(0).alias("n_blocks"), F.lit(0).cast("long").alias("name"))]
+    levels = []
     if largest:
-        level = cut(_first_names(meta, total), "dedup-names")
+        first_names, used = _first_names(meta, total)
+        level = cut(first_names, "dedup-names")
+        discard(*used)
         while True:
+            levels.append(level)
             done.append(level.where("n = 1").select("row", "n_blocks", "name"))
             largest = (largest + 1) // 2 if largest > 1 else 0
             if not largest:
@@ -54,6 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for x in done[1:]:
         names = names.unionByName(x)
     rows = cut(meta.select("id", "text_sha256", "row", *more).join(names.hint("merge"), "row"), "dedup-rows")
+    discard(meta, *levels)
     first = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     classes = cut(
         rows.groupBy("n_blocks", "name").agg(F.min(first).alias("first"), F.count("*").alias("group_size")).select(
@@ -66,8 +72,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _first_names(meta: DataFrame, total: int) -> DataFrame:
-    """Names of all blocks: row, i, n, n_blocks, name; a block's text is shuffled once."""
+def _first_names(meta: DataFrame, total: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Names of all blocks: row, i, n, n_blocks, name; a block's text is shuffled once. And the tables that they read but for meta."""
     counts = meta.select(F.explode("hashes").alias("b")).groupBy("b").count()
     hot = cut(counts.where(F.col("count") > hot_limit(total, HOT_BLOCKS)).select("b"), "dedup-hot")
     rows = meta.select("row", F.size("blocks").alias("n"), F.posexplode(F.arrays_zip("blocks", "hashes")).alias("i", "x"))
@@ -78,10 +84,10 @@ def _first_names(meta: DataFrame, total: int) -> DataFrame:
     cold = cold.repartition("block").sortWithinPartitions("block", "row", "i").withColumn("place", F.monotonically_increasing_id())
     cold = cold.withColumn("name", F.min("place").over(Window.partitionBy("block"))).select(*out)
     if none:
-        return cold
+        return cold, [hot]
     common = rows.join(F.broadcast(hot), "b")
     names = cut(common.select("block").distinct().sort("block").withColumn("name", F.lit(NONE - 1) - F.monotonically_increasing_id()), "dedup-hot-names")
-    return cold.unionByName(common.join(F.broadcast(names), "block").select(*out))
+    return cold.unionByName(common.join(F.broadcast(names), "block").select(*out)), [hot, names]
 
 
 def _next_names(level: DataFrame) -> DataFrame:

@@ -71,11 +71,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with no words have the fingerprint zero and are linked like any other; a bit that is set in just half of the hashes
     is 0. Whole texts are hashed, a long one in parts. Null ids never name a component unless all its ids are null. Repeated
-    rows share a component and get a row each; other columns are not read. An empty table gives an empty result.
+    rows share a component and get a row each; other columns are not read. An empty table gives an empty result. The result
+    reads two tables of ids and fingerprints, simhash-marks and simhash-named; all others are deleted on the way.
     """
     marks = cut(fingerprints(docs, id_col, text_col), "simhash-marks")
     fps = cut(marks.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("times")), "simhash-fps")
-    roots = cut(components(links(fps.select("fp"), radius)), "simhash-roots")
+    edges = links(fps.select("fp"), radius)
+    reached = components(edges)
+    roots = cut(reached, "simhash-roots")
+    discard(*edges.tables, *reached.tables)
     rooted = cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp"), "simhash-rooted")
     discard(roots)
     firsts = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "simhash-firsts")
@@ -118,27 +122,31 @@ def _signed(x: int) -> int:
 
 
 def links(fps: DataFrame, radius: int = 4, tile: int = TILE, agree: int | None = None) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fingerprints within the radius, whatever tile and agree are."""
+    """Edges (a, b) whose components are those of all pairs of distinct fingerprints within the radius, whatever tile and agree are. Its `tables` are those that it reads but for fps."""
     agree = agree or to_agree(fps.count(), radius)
-    found = []
+    found, tables = [], []
     while True:
         keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(agree, radius)])
         rows = fps.select("fp", F.posexplode(keys).alias("mask", "key"))
         large = cut(rows.groupBy("mask", "key").count().where(F.col("count") > tile).select("mask", "key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("tiles"), "count"), "simhash-large")
+        tables.append(large)
         if large.isEmpty():
             found.append(_tree_links(rows.select("mask", "key", *[F.lit(0).alias(c) for c in ("i", "j", "side")], "fp"), radius))
             break
         rows = cut(rows, "simhash-rows")
+        tables.append(rows)
         rows = join_hot(rows, large, ["mask", "key"], "count")
         if agree == MOST:
             found.append(_tree_links(_tiled(rows), radius))
             break
         found.append(_tree_links(rows.where("tiles IS NULL").select("mask", "key", *[F.lit(0).alias(c) for c in ("i", "j", "side")], "fp"), radius))
         fps = cut(rows.where("tiles IS NOT NULL").select("fp").distinct(), "simhash-dense")
+        tables.append(fps)
         agree += 1
     edges = found[0]
     for x in found[1:]:
         edges = edges.unionByName(x)
+    edges.tables = tables
     return edges
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import hard_negatives, importance, queries, toxicity
+from granary.llm import common, hard_negatives, importance, queries, toxicity
 
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
 AWKWARD = [(1, None), (2, ""), (3, " \t\n-- !"), (4, LONG), (5, LONG), (6, "Ünïcödé 😀 text"), (6, "Ünïcödé 😀 text"), (None, "no id here"), (None, "no id here"), (7, "MIXED Case 9 mixed"), (8, None), (9, "x" * 300)]
@@ -208,3 +209,23 @@ def test_op13_many_partitions(spark):
     rows = [(i % 400, " ".join(["alpha", "beta"][i % 2] for _ in range(25))) for i in range(2000)]
     docs, target = spark.createDataFrame(rows, "doc_id long, text string").repartition(23), spark.createDataFrame([("alpha",)], "text string")
     assert Counter(map(tuple, importance.resample(docs, target).collect())) == plain_resample(rows, ["alpha"])
+
+
+# tables in the shared folder
+
+
+def test_tables_that_stay(spark, sf, tmp_path, monkeypatch):
+    """After its result is read, each query has left only the tables that the result reads; none holds a copy of all texts but the pipeline's last."""
+    import corpus_pipeline
+
+    def left(run):
+        folder = tmp_path / run.__name__
+        monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{folder}")
+        assert run(spark, sf).count()
+        return sorted(re.sub("-[0-9a-f]{32}$", "", p.name) for p in folder.iterdir())
+
+    assert left(queries.QUERIES["op3_exact_dedup"]) == ["dedup-classes", "dedup-rows"]
+    assert left(queries.QUERIES["op8_simhash_near_dedup"]) == ["simhash-marks", "simhash-named"]
+    assert left(queries.QUERIES["op12_hard_negatives"]) == ["negatives"]
+    assert left(queries.QUERIES["op13_importance_resampling"]) == ["ranked"]
+    assert left(corpus_pipeline.run) == ["dedup-classes", "dedup-rows", "pipeline", "simhash-marks", "simhash-named"]
