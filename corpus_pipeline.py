@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import byte_bpe, decontaminate, exact_dedup, langid, simhash
-from granary.llm.common import cut, is_stored
+from granary.llm.common import cut, discard, is_stored
 from granary.session import table
 
 
@@ -62,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's table is deleted once the next is written; the result reads that of the last but one."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "pipeline")
+        before, docs = docs, cut(stage(spark, docs, sf_dir), "pipeline")
+        if hasattr(before, "cut_path"):
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
