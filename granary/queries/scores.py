@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.operators import evaluation as E
-from granary.operators.fitting import fit_rows, sparse_gram
+from granary.operators.fitting import fit_rows, l1_fit_rows, sparse_gram
 from granary.operators.relations import repeatability
 from granary.plans.scoring import GAMES, SQL, STATUSES, scores
 from granary.session import table
@@ -283,3 +283,27 @@ def _(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").selectExpr("array(0, 1) AS i", "array(CAST(l_quantity AS BIGINT), CAST(round(l_discount * 100) AS BIGINT)) AS z", "CAST(floor(l_extendedprice) AS BIGINT) % 2000 AS y")
     found = fit_rows(rows, "i", "z", "y", 2, _RIDGE, list(_PRIOR), [([0, 1], [2.0, 3.0], _CAP)])
     return found.select("feature", F.round("weight", 3).alias("weight"))
+
+
+#: Ridge and radius of the ball.
+_L1_RIDGE, _RADIUS = 1, 12.0
+
+
+@query(
+    "num04_certified_l1_fit",
+    f"""WITH s AS (SELECT sum(q * q) + {_L1_RIDGE} AS a, sum(q * d) AS b, sum(d * d) + {_L1_RIDGE} AS c, sum(q * y) AS p, sum(d * y) AS r
+      FROM (SELECT CAST(l_quantity AS DOUBLE) AS q, CAST(round(l_discount * 100) AS DOUBLE) AS d, CAST(CAST(floor(l_extendedprice) AS BIGINT) % 2000 AS DOUBLE) AS y FROM lineitem)),
+    o AS ( -- the free point, and the best of each of the diamond's edges (u t, v (radius - t))
+      SELECT (c * p - b * r) / (a * c - b * b) AS x, (a * r - b * p) / (a * c - b * b) AS z FROM s
+      UNION ALL SELECT u * t, v * ({_RADIUS} - t) FROM (
+        SELECT u, v, least(greatest(({_RADIUS} * (c - b * u * v) + p * u - r * v) / (a - 2 * b * u * v + c), 0), {_RADIUS}) AS t FROM s, (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)) e(u, v))),
+    w AS (SELECT x, z FROM o, s WHERE abs(x) + abs(z) <= {_RADIUS} + 1e-9 ORDER BY (a * x * x + 2 * b * x * z + c * z * z) / 2 - p * x - r * z LIMIT 1)
+    SELECT 0 AS feature, round(x, 3) AS weight, true AS proved FROM w UNION ALL SELECT 1, round(z, 3), true FROM w""",
+)
+def _(spark, sf_dir):
+    """Two features on an L1 ball; proved says that the exact gap is at most a millionth of a row's loss. The SQL compares the edges of the diamond."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("array(0, 1) AS i", "array(CAST(l_quantity AS BIGINT), CAST(round(l_discount * 100) AS BIGINT)) AS z", "CAST(floor(l_extendedprice) AS BIGINT) % 2000 AS y")
+    near = 1e-6 * max(1, rows.count())
+    found = l1_fit_rows(rows, "i", "z", "y", 2, _L1_RIDGE, _RADIUS, near)
+    top, below = (F.nullif(F.split_part("gap", F.lit("/"), F.lit(k)), F.lit("")).cast("double") for k in (1, 2))
+    return found.select("feature", F.round("weight", 3).alias("weight"), (top / F.coalesce(below, F.lit(1.0)) <= near).alias("proved"))

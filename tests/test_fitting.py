@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -100,3 +101,32 @@ def test_agg34_tree(spark):
         level = above
     assert tuple(inventory_digest(files.repartition(9)).first()) == (100_000, sum(i % 77 for i in range(100_000)), sha("\n".join(sorted(level[""]))))
     assert tuple(inventory_digest(files.where("false")).first()) == (0, 0, sha(""))
+
+
+def test_num04_certificate():
+    """The proved gap bounds the distance of the objective to the best of all faces of the ball; gaps are exact and never negative."""
+    r = np.random.default_rng(5)
+    for k in range(25):
+        z = r.integers(-9, 10, size=(40, 4))
+        d = r.integers(-300, 300, size=40)
+        gram, moment, radius = z.T @ z, z.T @ d, float(r.uniform(0.1, 40))
+        found = fitting.l1_ridge(gram, moment, 1, radius, 1e-6)
+        value = lambda w: w @ (gram + np.eye(4)) @ w / 2 - moment @ w  # noqa: B023, E731
+        best = np.inf
+        for signs in itertools.product([-1, 1], repeat=4):  # each orthant's part of the ball is a simplex
+            s = np.array(signs)
+            w = plain_fit((gram + np.eye(4)) * np.outer(s, s) / 2, moment * s / 2, [(list(range(4)), [1.0] * 4, radius)]) * s
+            best = min(best, value(w))
+        assert -1e-6 <= value(found.weights) - best <= float(found.gap) + 1e-6 and 0 <= found.gap <= Fraction(1e-6)
+        assert fitting.duality_gap(gram, moment, 1, np.full(4, radius), Fraction(radius)) is None
+    assert fitting.duality_gap(np.array([[2]]), np.array([3]), 1, np.array([0.5]), Fraction(2)) == Fraction(3, 2) * Fraction(-1, 2) + 2 * Fraction(3, 2)
+    with pytest.raises(ValueError, match="certificate"):
+        fitting.l1_ridge(gram, moment, 1, 5.0, 1e-30, steps=20)
+
+
+def test_num04_from_rows(spark):
+    rows = spark.createDataFrame([([0, 2], [3, -1], 30), ([1], [2], -8), ([2], [5], 1)], "i array<int>, z array<long>, y long")
+    found = fitting.l1_fit_rows(rows, "i", "z", "y", 3, 1, 100.0, 1e-9).orderBy("feature").collect()
+    want = np.linalg.solve(np.array([[10, 0, -3], [0, 5, 0], [-3, 0, 27]]), [90, -16, -25])
+    assert np.allclose([x.weight for x in found], want, atol=1e-4) and all(0 <= Fraction(x.gap) <= Fraction(1e-9) for x in found)
+    assert [x.weight for x in fitting.l1_fit_rows(rows.where("false"), "i", "z", "y", 2, 1, 1.0, 1e-9).collect()] == [0.0, 0.0]
