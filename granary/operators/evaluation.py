@@ -194,4 +194,4 @@ def forward(vectors: DataFrame, id_col: str, column: str, hidden: list[list[floa
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, mask=~there)], names=[id_col, "output"])
 
     rows = vectors.select(id_col, column)
-    return rows.mapInArrow(run, rows.select(id_col, F.lit(0.0).alias("output")).schema)
+    return rows.mapInArrow(run, rows.select(id_col, F.lit(None).cast("double").alias("output")).schema)

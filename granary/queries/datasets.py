@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from granary.functions.scalar import canonical_json, position_key
 from granary.operators import evaluation as E
 from granary.operators import nested as N
 from granary.operators import relations as R
+from granary.operators.network import Network, forward_sparse
 from granary.session import table
 from granary.sources import datasets as D
 
@@ -173,6 +175,35 @@ def _(spark, sf_dir):
     return rows.select("p_partkey", B.material(F.col("s")).alias("material"))
 
 
+#: Weights by rule, in quarters and eighths, so that sums are exact in 32 bits: features, units, hidden units.
+_FEATURES, _UNITS, _WIDTH = 2344, 4, 3
+_FT, _L2 = "({f} * 7 + {c} * 13) % 401 - 150", "(({r} * 5 + {h} * 3) % 9 - 4) / 4.0"
+
+
+def _network() -> Network:
+    f, c, r, h = np.arange(_FEATURES)[:, None], np.arange(_UNITS), np.arange(2 * _UNITS)[:, None], np.arange(_WIDTH)
+    return Network((f * 7 + c * 13) % 401 - 150, 20 * c - 30, ((r * 5 + h * 3) % 9 - 4) / 4.0, h - 0.5, (h + 1) / 8.0, 16.0)
+
+
+@query(
+    "fn27_sparse_network",
+    f"""WITH b AS (SELECT p_partkey, p_partkey % 2 AS side, x, h FROM {_BOARDS}),
+    f AS (
+      SELECT p_partkey, side AS seat, unnest(list_concat([36 * 28 + 15, 44 * 28 + 14, (x * 9 + 4) * 28], list_transform(range(0, h), lambda c: 2268 + c))) AS f FROM b
+      UNION ALL SELECT p_partkey, 1 - side, unnest(list_concat([36 * 28 + 14, 44 * 28 + 15, (x * 9 + 4) * 28 + 1], list_transform(range(0, h), lambda c: 2268 + 38 + c))) FROM b),
+    a AS (SELECT p_partkey, seat, c, greatest(0, least(8128, sum({_FT.format(f="f", c="c")}) + 20 * c - 30)) / 64.0::DOUBLE AS v FROM f, range(0, {_UNITS}) u(c) GROUP BY p_partkey, seat, c),
+    l AS (SELECT p_partkey, h, greatest(0, least(127, sum(v * ({_L2.format(r=f"(seat * {_UNITS} + c)", h="h")})) + h - 0.5)) AS v FROM a, range(0, {_WIDTH}) w(h) GROUP BY p_partkey, h)
+    SELECT p_partkey, CAST((sum(v * (h + 1) / 8.0) + 16) / 64.0 AS FLOAT) AS output, CAST(trunc((sum(v * (h + 1) / 8.0) + 16) / 64.0) AS BIGINT) AS score FROM l GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """Sentences become active features of both sides, and these an evaluation for the side to move."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size % 9 AS x", "p_size % 5 AS h").selectExpr("p_partkey", f"{_SENTENCE} AS s")
+    sides = rows.select("p_partkey", *[B.active_features(F.col("s"), k).alias(f"side{k}") for k in (0, 1)])
+    black = F.col("p_partkey") % 2 == 0
+    seats = sides.select("p_partkey", F.when(black, F.col("side0")).otherwise(F.col("side1")).alias("own"), F.when(black, F.col("side1")).otherwise(F.col("side0")).alias("other"))
+    return forward_sparse(seats, "p_partkey", "own", "other", _network())
+
+
 _SIZE, _HIDDEN = 16, 4
 _W1 = [[((7 * i + 3 * j) % 5 - 2) / 2 for i in range(_SIZE)] for j in range(_HIDDEN)]
 _W2 = [(j % 3) - 1.5 for j in range(_HIDDEN)]
