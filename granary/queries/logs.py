@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from granary.functions.log_lines import is_primary, log_line
 from granary.operators import attempts as A
-from granary.session import table
+from granary.session import scratch_folder, table
+from granary.sources import attempts as S
 
 from . import Registry
 
@@ -135,6 +136,28 @@ def _(spark, sf_dir):
     return found.select(F.col("attempt").alias("user_id"), "verdict", F.array_join("fields", ",").alias("fields"))
 
 
+@query(
+    "src15_attempt_files",
+    f"""WITH {_OBSERVED}, x AS (SELECT *, CASE WHEN user_id % 7 = 0 THEN 'stray' WHEN user_id % 5 = 0 THEN 'changed' ELSE 'ok' END AS fault FROM o)
+    SELECT user_id, fault, CASE WHEN fault = 'ok' THEN status END AS status FROM x UNION ALL SELECT DISTINCT -1 - user_id, 'no_log', NULL FROM events WHERE user_id % 11 = 0""",
+)
+def _(spark, sf_dir):
+    """Attempts written as files. Every seventh loses its record, every fifth record has another hash, and some records have no log; what is sound is observed anew from its file and equals its record."""
+    path, plan = scratch_folder(spark, "attempts"), _plan(spark, sf_dir)
+    log = _log(spark, sf_dir)
+    S.write_attempts(A.observe(log, plan).select("attempt", "status"), log, path)
+    records = spark.read.schema(f"attempt bigint, status string, {S.LOG}").json(f"{path}/records")
+    sha = F.when(F.col("attempt") % 5 == 0, F.sha2("log_sha256", 256)).otherwise(F.col("log_sha256"))
+    lost = plan.where("attempt % 11 = 0").selectExpr("-1 - attempt AS attempt", "'lost' AS status", "1L AS log_bytes", "'x' AS log_sha256")
+    damaged = records.where("attempt % 7 <> 0").withColumn("log_sha256", sha).unionByName(lost)
+    found = S.faults(damaged, S.logs(spark, path))
+    sound = found.where("fault = 'ok'").select("attempt")
+    events = spark.read.schema(S.EVENT).json(f"{path}/raw").join(sound, "attempt", "left_semi")
+    observed = A.observe(events, plan.join(sound, "attempt", "left_semi")).select("attempt", "status")
+    same = A.revalidated(records.join(sound, "attempt", "left_semi").select("attempt", "status"), observed).where("verdict = 'ok'").select("attempt")
+    return found.join(observed.join(same, "attempt", "left_semi"), "attempt", "left").select(F.col("attempt").alias("user_id"), "fault", "status")
+
+
 @query(
     "src16_log_faults",
     """WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'send' WHEN 'purchase' THEN 'runner' WHEN 'error' THEN 'other' ELSE 'receive' END AS d, event_id % 3 = 0 AS said, floor(value) AS spot FROM events),
