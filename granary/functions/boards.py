@@ -79,3 +79,25 @@ def material(sentence: Column) -> Column:
         if letter in SET:
             total = total + VALUES[k] * (in_hand(hand, letter) - in_hand(hand, letter.lower()))
     return F.when(side == "b", total).otherwise(-total).cast("long")
+
+
+def turned(sentence: Column) -> Column:
+    """The same position seen from the other side (FN-26): the board turned by half, sides swapped on it, in the hands and to move; the ply stays.
+
+    Hands come out in the usual order, so a second turn gives a valid sentence back in that order.
+    """
+    flat = F.translate(F.reverse(squares(_part(sentence, 0))), ORDER + ORDER.lower(), ORDER.lower() + ORDER)
+    board = F.concat_ws("/", *[F.substring(flat, 1 + 9 * k, 9) for k in range(9)])
+    for n in range(9, 0, -1):
+        board = F.replace(board, F.lit("." * n), F.lit(str(n)))
+    for pair, letter in PROMOTED.items():
+        board = F.replace(F.replace(board, F.lit(letter), F.lit(pair)), F.lit(letter.lower()), F.lit(pair.lower()))
+
+    def held(letter: str, other: str) -> Column:
+        n = in_hand(_part(sentence, 2), other)
+        return F.when(n == 0, "").when(n == 1, letter).otherwise(F.concat(n.cast("string"), F.lit(letter)))
+
+    order = "RBGSNLP"
+    hand = F.concat(*[held(c, c.lower()) for c in order], *[held(c.lower(), c) for c in order])
+    side = F.when(_part(sentence, 1) == "b", "w").otherwise("b")
+    return F.concat_ws(" ", board, side, F.when(hand == "", "-").otherwise(hand), _part(sentence, 3))

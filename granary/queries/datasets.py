@@ -169,6 +169,17 @@ def _(spark, sf_dir):
     return rows.select("p_partkey", *[F.array_join(B.active_features(F.col("s"), k), ",").alias(name) for k, name in enumerate(("first", "second"))])
 
 
+@query(
+    "fn26_turned_boards",
+    f"""SELECT p_partkey, '4k4/9/9/9/' || CASE WHEN x < 8 THEN CAST(8 - x AS VARCHAR) ELSE '' END || 'p' || CASE WHEN x > 0 THEN CAST(x AS VARCHAR) ELSE '' END || '/9/9/9/4K4 ' || CASE WHEN p_partkey % 2 = 0 THEN 'w ' ELSE 'b ' END
+      || CASE h WHEN 0 THEN '-' WHEN 1 THEN 'p' ELSE h || 'p' END || ' 1' AS turned FROM {_BOARDS}""",
+)
+def _(spark, sf_dir):
+    """Each position seen from the other side."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size % 9 AS x", "p_size % 5 AS h").selectExpr("p_partkey", f"{_SENTENCE} AS s")
+    return rows.select("p_partkey", B.turned(F.col("s")).alias("turned"))
+
+
 @query("fn16_material_with_hands", f"SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN 100 * (1 + h) ELSE -100 * (1 + h) END AS BIGINT) AS material FROM {_BOARDS}")
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size % 9 AS x", "p_size % 5 AS h").selectExpr("p_partkey", f"{_SENTENCE} AS s")
@@ -235,8 +246,8 @@ def _(spark, sf_dir):
 @query("flt10_top3_eligible", "SELECT l_orderkey, count(*) AS n_moves FROM lineitem GROUP BY 1 HAVING count(*) >= 4 AND bool_and(l_returnflag <> 'R')")
 def _(spark, sf_dir):
     """Orders are positions, lines legal moves; a returned line makes the position special."""
-    positions = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey")).agg(F.collect_list("l_partkey").alias("legal"), F.when(F.bool_or(F.col("l_returnflag") == "R"), "special").otherwise("normal").alias("position_type"))
-    return positions.where((F.col("position_type") == "normal") & (F.size("legal") >= 4)).select("l_orderkey", F.size("legal").cast("long").alias("n_moves"))
+    positions = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey")).agg(F.count("*").alias("n_moves"), F.when(F.bool_or(F.col("l_returnflag") == "R"), "special").otherwise("normal").alias("position_type"))
+    return positions.where((F.col("position_type") == "normal") & (F.col("n_moves") >= 4)).select("l_orderkey", "n_moves")
 
 
 @query("flt13_game_filters", "SELECT conv_id, turn FROM conversations WHERE conv_id % 4 <> 0 AND turn >= 2 AND turn % 2 = 0 AND role <> 'system'")

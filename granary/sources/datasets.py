@@ -177,6 +177,6 @@ def export_public(rows: DataFrame, allowed: list[str], path: str) -> DataFrame:
     leaks = public.where(forbidden(F.concat_ws(" ", *[F.col(c).cast("string") for c in allowed]))).limit(1).collect()
     if leaks:
         raise ValueError("a row holds a path, a private address or a long hexadecimal id")
-    public.select(*sorted(allowed)).coalesce(1).write.mode("error").json(f"{path}/data")
+    public.select(*sorted(allowed)).write.mode("error").option("maxRecordsPerFile", FILE_ROWS).json(f"{path}/data")
     inventory(spark, f"{path}/data").coalesce(1).write.mode("error").json(f"{path}/manifest")
     return spark.read.schema("name string, bytes long, sha256 string").json(f"{path}/manifest")

@@ -120,7 +120,7 @@ def test_public_export(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, "/home/x"), ("b", 2, "y")], "name string, n int, path string")
     manifest = D.export_public(rows, ["n", "name"], str(tmp_path / "out")).collect()
     text = "".join(p.read_text() for p in (tmp_path / "out/data").glob("*.json"))
-    assert len(manifest) == 1 and sorted(text.splitlines()) == ['{"n":1,"name":"a"}', '{"n":2,"name":"b"}']
+    assert {r.name for r in manifest} == {p.name for p in (tmp_path / "out/data").glob("*.json")} and sorted(text.splitlines()) == ['{"n":1,"name":"a"}', '{"n":2,"name":"b"}']
     with pytest.raises(ValueError, match="path"):
         D.export_public(rows, ["path"], str(tmp_path / "other"))
     with pytest.raises(Exception):
@@ -174,3 +174,14 @@ def test_no_line_stops_a_job(spark):
     events = spark.createDataFrame(rows, "attempt long, seq long, direction string, line string, offset_ns long")
     plan = events.selectExpr("attempt", "attempt % 2 = 0 AS first_side", "1200L AS requested_nodes", "'candidate' AS engine", "'normal' AS position_type", "false AS in_check", "30 AS legal_moves", "CAST(NULL AS STRING) AS sole_move", "CAST(array() AS ARRAY<STRING>) AS mating_moves").distinct()
     assert len(A.observe(events, plan).collect()) == plan.count() == len({a for a, *_ in rows})
+
+
+def test_turned_boards(spark):
+    made = [
+        ("4k4/9/9/9/2+P6/9/9/9/4K4 b R2Pb3p 7", "4k4/9/9/9/9/9/9/9/4K4 b - 1", "lnsgkgsnl/1r5b1/ppppppppp/9/9/9/PPPPPPPPP/1B5R1/LNSGKGSNL b - 1", "4k4/9/3+r5/9/9/1n7/9/9/4K3+b w 2G18P 40"),
+        ("4k4/9/9/9/6+p2/9/9/9/4K4 w B3Pr2p 7", "4k4/9/9/9/9/9/9/9/4K4 w - 1", "lnsgkgsnl/1r5b1/ppppppppp/9/9/9/PPPPPPPPP/1B5R1/LNSGKGSNL w - 1", "+B3k4/9/9/7N1/9/9/5+R3/9/4K4 b 2g18p 40"),
+    ]
+    rows = spark.createDataFrame(list(zip(*made)), "s string, want string").withColumn("t", B.turned(F.col("s")))
+    back, kept = B.turned(F.col("t")), B.material(F.col("t")) == B.material(F.col("s"))
+    for r in rows.select("s", "want", "t", back.alias("back"), B.sentence_valid(F.col("t")).alias("valid"), kept.alias("kept")).collect():
+        assert r.t == r.want and r.back == r.s and r.valid and r.kept
