@@ -75,13 +75,18 @@ def _spaced(words: list[bytes]) -> bytes:
 def toxic_words(texts: list[list[bytes]], found: list[np.ndarray], toxic: np.ndarray) -> list[bytes]:
     """Words of toxic texts that hold an n-gram which sets these apart, the surest last; found: each text's different n-grams."""
     n = np.array([(~toxic).sum(), toxic.sum()], float)
-    seen = [np.concatenate([g for g, y in zip(found, toxic) if y == kind]) for kind in (False, True)]
-    every, kind = np.unique(np.concatenate(seen), return_inverse=True)
-    docs = [np.bincount(x, minlength=len(every)) for x in np.split(kind, [len(seen[0])])]
+    every, held = np.unique(np.concatenate([g for g, y in zip(found, toxic) if y]), return_counts=True)
+    every, held = every[held >= DOCS], held[held >= DOCS]  # others can't set texts apart
+    docs = [np.zeros(len(every), np.int64), held]
+    for g, y in zip(found, toxic):  # counted text by text: the n-grams of all ordinary texts are never held at once
+        if not y and len(every):
+            at = np.searchsorted(every, g)
+            at[at == len(every)] = 0
+            docs[0][at[every[at] == g]] += 1
     share = (docs[0] + docs[1]) / n.sum()
     errors = (docs[1] / n[1] - docs[0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n).sum() + 1e-9)
     times = (docs[1] + 0.5) / (n[1] + 1) / ((docs[0] + 0.5) / (n[0] + 1))
-    apart = (errors > ERRORS) & (times > TIMES) & (docs[1] >= DOCS)
+    apart = (errors > ERRORS) & (times > TIMES)
     names = [g.to_bytes(GRAM, "big") for g in every[apart].tolist()]
     sure, held = dict(zip(names, errors[apart].tolist())), dict(zip(names, docs[1][apart].tolist()))
     after: dict[bytes, set[bytes]] = defaultdict(set)
