@@ -13,6 +13,8 @@ SET = {"P": 18, "L": 4, "N": 4, "S": 4, "G": 4, "B": 2, "R": 2}
 VALUES = (100, 430, 470, 640, 680, 890, 1040, 0, 600, 600, 600, 640, 1150, 1300)
 #: The index of the first hand feature, features of a hand, and where each kind's begin.
 HAND_START, HAND_SIZE, HAND_OFFSETS = 2268, 38, (0, 18, 22, 26, 30, 34, 36)
+#: The code of the first of the digits that stand for a kind and a side; that of an empty square is below it.
+ZERO = ord("0")
 
 
 def _part(sentence: Column, k: int) -> Column:
@@ -51,16 +53,16 @@ def sentence_valid(sentence: Column) -> Column:
 
 
 def active_features(sentence: Column, perspective: int) -> Column:
-    """Indices of the features that a valid position sets, seen by side 0 or 1: pieces by square (file by file), then hands (FN-15)."""
-    flat, hand = squares(_part(sentence, 0)), _part(sentence, 2)
-
-    def piece(i: Column) -> Column:
-        c = F.substring(flat, (i % 9) * 9 + F.floor(i / 9).cast("int") + 1, F.lit(1))
-        kind = F.instr(F.lit(ORDER), F.upper(c)) - 1
-        other = (c == F.upper(c)).cast("int") if perspective else (c != F.upper(c)).cast("int")
-        return F.when(c != ".", i * 28 + kind * 2 + other)
+    """Indices of the features that a valid position sets, seen by side 0 or 1: pieces by square (file by file), then hands (FN-15).
 
-    on_board = F.filter(F.transform(F.sequence(F.lit(0), F.lit(80)), piece), lambda x: x.isNotNull())
+    The board is made once a row and its letters become one digit each, so that what is done for every square is a look-up.
+    """
+    flat, hand = squares(_part(sentence, 0)), _part(sentence, 2)
+    own, other = (ORDER, ORDER.lower()) if perspective == 0 else (ORDER.lower(), ORDER)
+    digits = F.translate(flat, own + other, "".join(chr(ZERO + 2 * k + side) for side in (0, 1) for k in range(len(ORDER))))
+    places = F.lit([(at % 9 * 9 + at // 9) * 28 - ZERO for at in range(81)])  # the board goes rank by rank
+    pieces = F.transform(F.split(digits, ""), lambda c, at: F.when(F.ascii(c) >= ZERO, F.get(places, at) + F.ascii(c)))
+    on_board = F.coalesce(F.sort_array(F.array_compact(pieces)), F.array().cast("array<int>"))
     held = []
     for colour in (0, 1):
         for letter, start in zip(SET, HAND_OFFSETS):

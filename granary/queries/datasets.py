@@ -12,7 +12,7 @@ from granary.operators import evaluation as E
 from granary.operators import nested as N
 from granary.operators import relations as R
 from granary.operators.network import Network, forward_sparse
-from granary.session import table
+from granary.session import spread, table
 from granary.sources import datasets as D
 
 from . import Registry
@@ -159,13 +159,19 @@ _SENTENCE = "concat('4k4/9/9/9/', if(x > 0, string(x), ''), 'P', if(x < 8, strin
 _BOARDS = "(SELECT p_partkey, p_size % 9 AS x, p_size % 5 AS h FROM part)"
 
 
+def _positions(spark, sf_dir):
+    """A sentence for each part."""
+    rows = spread(table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size % 9 AS x", "p_size % 5 AS h"))
+    return rows.selectExpr("p_partkey", f"{_SENTENCE} AS s")
+
+
 @query(
     "fn15_active_features",
     f"""SELECT p_partkey, array_to_string(list_sort(list_concat([36 * 28 + 15, 44 * 28 + 14, (x * 9 + 4) * 28], list_transform(range(0, h), lambda c: 2268 + c))), ',') AS first,
       array_to_string(list_sort(list_concat([36 * 28 + 14, 44 * 28 + 15, (x * 9 + 4) * 28 + 1], list_transform(range(0, h), lambda c: 2268 + 38 + c))), ',') AS second FROM {_BOARDS}""",
 )
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size % 9 AS x", "p_size % 5 AS h").selectExpr("p_partkey", f"{_SENTENCE} AS s")
+    rows = _positions(spark, sf_dir)
     return rows.select("p_partkey", *[F.array_join(B.active_features(F.col("s"), k), ",").alias(name) for k, name in enumerate(("first", "second"))])
 
 
@@ -176,13 +182,13 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Each position seen from the other side."""
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size % 9 AS x", "p_size % 5 AS h").selectExpr("p_partkey", f"{_SENTENCE} AS s")
+    rows = _positions(spark, sf_dir)
     return rows.select("p_partkey", B.turned(F.col("s")).alias("turned"))
 
 
 @query("fn16_material_with_hands", f"SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN 100 * (1 + h) ELSE -100 * (1 + h) END AS BIGINT) AS material FROM {_BOARDS}")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size % 9 AS x", "p_size % 5 AS h").selectExpr("p_partkey", f"{_SENTENCE} AS s")
+    rows = _positions(spark, sf_dir)
     return rows.select("p_partkey", B.material(F.col("s")).alias("material"))
 
 
@@ -208,7 +214,7 @@ def _network() -> Network:
 )
 def _(spark, sf_dir):
     """Sentences become active features of both sides, and these an evaluation for the side to move."""
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size % 9 AS x", "p_size % 5 AS h").selectExpr("p_partkey", f"{_SENTENCE} AS s")
+    rows = _positions(spark, sf_dir)
     sides = rows.select("p_partkey", *[B.active_features(F.col("s"), k).alias(f"side{k}") for k in (0, 1)])
     black = F.col("p_partkey") % 2 == 0
     seats = sides.select("p_partkey", F.when(black, F.col("side0")).otherwise(F.col("side1")).alias("own"), F.when(black, F.col("side1")).otherwise(F.col("side0")).alias("other"))

@@ -40,6 +40,11 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{folder or 'file://' + tempfile.mkdtemp(prefix='spark-')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small table dealt out over all cores: few bytes are few tasks, however much work a row is."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder, with its lineage cut."""
     context = df.sparkSession.sparkContext

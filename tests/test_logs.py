@@ -1,5 +1,6 @@
 """Log lines, attempts, datasets and exports on literals."""
 
+import itertools
 import json
 import random
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from granary import catalog
 from granary.functions import boards as B
 from granary.functions.log_lines import read_line
 from granary.functions.scalar import user_key
@@ -164,6 +166,35 @@ def test_sentences(spark):
     assert promoted.a[0] == 13 * 2 + 1 and promoted.a[-3:] == [2268 + 34, 2268 + 76, 2268 + 77] and promoted.m == 890 - 1300 - 200
 
 
+def test_features_of_random_boards(spark, sf):
+    """Against a plain version; the board is made once a row, not once a square, and a small table's rows go to all cores."""
+    r = random.Random(3)
+    pieces = [s + c for c in "PLNSGBRK" for s in ("", "+") if s + c not in ("+G", "+K")]
+    order = [p for p in pieces if "+" not in p] + ["+P", "+L", "+N", "+S", "+B", "+R"]
+    rows = []
+    for n in range(60):
+        cells = {at: r.choice([str.upper, str.lower])(r.choice(pieces)) for at in range(81) if r.random() < 0.4}
+        ranks = [[cells.get(9 * k + i, "") for i in range(9)] for k in range(9)]
+        board = "/".join("".join(str(len(list(g))) if not c else "".join(g) for c, g in itertools.groupby(rank)) for rank in ranks)
+        hand = {(c, side): r.choice([0, 0, 1, 2, m]) for side in (0, 1) for c, m in B.SET.items()}
+        text = "".join((str(k) if k > 1 else "") + (c.lower() if side else c) for (c, side), k in hand.items() if k) or "-"
+        want = []
+        for view in (0, 1):
+            found = sorted((at % 9 * 9 + at // 9) * 28 + 2 * order.index(x.upper()) + (x.islower() != view) for at, x in cells.items())
+            for (c, side), k in hand.items():
+                first = B.HAND_START + (2 * side + view) * B.HAND_SIZE + B.HAND_OFFSETS["PLNSGBR".index(c)]
+                found += range(first, first + k)
+            want.append(found)
+        rows.append((n, f"{board} b {text} 1", *want))
+    made = spark.createDataFrame(rows, "n int, s string, a array<int>, b array<int>")
+    found = made.select("n", "a", "b", *[B.active_features(F.col("s"), k).alias(f"f{k}") for k in (0, 1)])
+    assert [x.n for x in found.collect() if x.a != x.f0 or x.b != x.f1] == []
+    plan = made.select(B.active_features(F.col("s"), 0).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("replace(") == 2 * len(B.PROMOTED) + 10
+    for name in ("fn15_active_features", "fn27_sparse_network"):
+        assert catalog.QUERIES[name](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_no_line_stops_a_job(spark):
     """Lines of random words of the format, numbers of any size among them, and what is observed of them."""
     r = random.Random(7)
