@@ -47,7 +47,7 @@ def write_dataset(positions: DataFrame, labels: DataFrame, games: DataFrame, pat
     for name, rows in (("positions", positions), ("labels", labels)):
         write_json_lines(rows, f"{path}/data/{name}", "split")
     write_json_lines(games.withColumn("part", F.lit(0)), f"{path}/data/games", "part")
-    inventory(spark, f"{path}/data").coalesce(1).write.json(f"{path}/manifest")
+    inventory(spark, f"{path}/data").write.json(f"{path}/manifest")
     return spark.read.schema("name string, bytes long, sha256 string").json(f"{path}/manifest")
 
 
@@ -178,5 +178,5 @@ def export_public(rows: DataFrame, allowed: list[str], path: str) -> DataFrame:
     if leaks:
         raise ValueError("a row holds a path, a private address or a long hexadecimal id")
     public.select(*sorted(allowed)).write.mode("error").option("maxRecordsPerFile", FILE_ROWS).json(f"{path}/data")
-    inventory(spark, f"{path}/data").coalesce(1).write.mode("error").json(f"{path}/manifest")
+    inventory(spark, f"{path}/data").write.mode("error").json(f"{path}/manifest")
     return spark.read.schema("name string, bytes long, sha256 string").json(f"{path}/manifest")

@@ -10,6 +10,7 @@ from granary.functions import scalar as S
 from granary.functions.fnv import fnv1a
 from granary.operators import evaluation as E
 from granary.operators import relations as R
+from granary.sources import datasets as D
 from granary.sources import records
 from granary.streaming.events import counts_by_window, ingest, last_window, state_folder
 
@@ -110,3 +111,18 @@ def test_boards_and_reports(spark):
     text = spark.createDataFrame([("V2.2\nN+ann\nN-bob\n+7776FU", "a|b", None)], "game string, x string, y int")
     r = text.select(S.anonymised(F.col("game")).alias("g"), S.markdown_row("x", "y").alias("m")).first()
     assert r.g == "V2.2\nN+player\nN-player\n+7776FU" and r.m == "| a\\|b |  |"
+
+
+def test_manifest_is_made_by_many_tasks(spark, tmp_path):
+    """Files are hashed by as many tasks as their bytes ask for, not by the one that writes the manifest."""
+    rows = spark.range(4).selectExpr("string(id) AS game_id", "0 AS ply", "1 AS schema_version", "concat('p', id) AS sfen", "concat('s', id) AS split")
+    labels = rows.selectExpr("0 AS label_depth", "1L AS score_cp", "sfen", "split", "'own' AS teacher")
+    games = rows.selectExpr("game_id", "0 AS game_index", "game_id AS pack", "split")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        manifest = D.write_dataset(rows, labels, games, str(tmp_path / "set"))
+        assert len(list((tmp_path / "set/manifest").glob("part-*"))) > 1 and manifest.distinct().count() == manifest.count() >= 9
+        assert [x.count() for x in D.read_dataset(spark, str(tmp_path / "set"))] == [4, 4, 4]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
