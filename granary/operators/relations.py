@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -236,26 +237,43 @@ def ordered_exclusion(rows: DataFrame, sets: dict[str, tuple[DataFrame, str]], k
     return rows.withColumn("reason", reason).drop(*[f"__v{i}" for i in range(len(sets))])
 
 
+#: Rows of a frontier that are broadcast: of more, the shares are dealt out by key for a merge join.
+NEAR = 500_000
+
+
 def frontier(shares: DataFrame, start: DataFrame, target: int | None = None) -> DataFrame:
     """(member, distance) by breadth-first search over shares (place, member) from start (member), until nothing new or `target` members (STR-07).
 
-    A round is two joins through the places of the newest members, never all pairs; only the newest are joined, and each
-    round is checkpointed in the shared folder. The last round is whole, so more than `target` may be found.
+    A round is two joins through the places of the newest members that no round before it has reached, never all pairs. A
+    frontier of NEAR rows at most is broadcast, so that the shares are read where they are; they are dealt out only in the
+    rounds that reach much of them, which are few however large the table. Each round's new members and places are written
+    once to the shared folder, and the shares are read twice a round. The last round is whole, so more than `target` may be found.
     """
-    lines = shares.distinct()
-    newest = checkpointed(start.select("member").distinct().withColumn("distance", F.lit(0)))
-    known, total = newest, newest.count()
+
+    def through(by: str, near: DataFrame, n: int, to: str) -> DataFrame:
+        near = F.broadcast(near.select(by)) if n <= NEAR else near.select(by).hint("merge")
+        return shares.where(F.col(to).isNotNull()).join(near, by, "left_semi").select(to).distinct()
+
+    def unseen(rows: DataFrame, levels: list[DataFrame], on: str) -> DataFrame:
+        return rows.join(reduce(DataFrame.union, [x.select(on) for x in levels]), on, "left_anti") if levels else rows
+
+    def written(rows: DataFrame) -> tuple[DataFrame, int]:
+        rows = checkpointed(rows)
+        return rows, rows.count()
+
+    newest, n = written(start.select("member").distinct().withColumn("distance", F.lit(0)))
+    known, seen, total = [newest], [], n
     for distance in range(1, 1 << 31):
-        places = lines.join(newest.select("member"), "member", "left_semi").select("place").distinct()
-        reached = lines.join(places, "place", "left_semi").select("member").distinct()
-        newest = checkpointed(reached.join(known.select("member"), "member", "left_anti").withColumn("distance", F.lit(distance)))
-        n = newest.count()
-        if not n:
+        if not n or (distance > 1 and target and total >= target):
             break
-        known, total = checkpointed(known.unionByName(newest)), total + n
-        if target and total >= target:
+        places, n = written(unseen(through("member", newest, n, "place"), seen, "place"))
+        if not n:
             break
-    return known
+        seen.append(places)
+        newest, n = written(unseen(through("place", places, n, "member"), known, "member").withColumn("distance", F.lit(distance)))
+        if n:
+            known, total = [*known, newest], total + n
+    return reduce(DataFrame.unionByName, known)
 
 
 #: The multiplier and increment of the 64-bit linear congruential generator, and what a seed is mixed with.

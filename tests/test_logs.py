@@ -150,10 +150,43 @@ def test_maps_and_search(spark):
     start = spark.createDataFrame([(1,)], "member int")
     assert {r.member: r.distance for r in R.frontier(shares, start).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
     assert {r.member for r in R.frontier(shares, start, target=2).collect()} == {1, 2}
+    assert R.frontier(shares, start.where("member > 1")).count() == 0
     ids = spark.createDataFrame([("Straße",), ("STRASSE",)], "i string").select(user_key(F.col("i"))).distinct()
     assert ids.count() == 1
 
 
+@pytest.mark.parametrize("near", [0, 3, 500_000])
+def test_frontier_of_a_random_graph(spark, monkeypatch, near):
+    """Distances as a plain search finds them, whether a frontier is broadcast or dealt out; null places and members lead nowhere."""
+    r = random.Random(near)
+    monkeypatch.setattr(R, "NEAR", near)
+    rows = [(r.randrange(40) if r.random() < 0.95 else None, r.randrange(60) if r.random() < 0.95 else None) for _ in range(90)]
+    shares = spark.createDataFrame(rows, "place int, member int")
+    want, newest = {0: 0}, {0}
+    while newest:
+        places = {p for p, m in rows if m in newest and p is not None}
+        newest = {m for p, m in rows if p in places and m is not None} - want.keys()
+        want |= {m: max(want.values()) + 1 for m in newest}
+    assert {x.member: x.distance for x in R.frontier(shares, spark.createDataFrame([(0,)], "member int")).collect()} == want
+
+
+def test_near_frontiers_leave_the_shares_where_they_are(spark):
+    """Rounds that reach little of a table shuffle little of it."""
+    shares = spark.range(200_000).selectExpr("CAST(id AS BIGINT) AS place", "explode(array(id, id + 1)) AS member").where("place < 5 OR place >= 10")
+    store, known = spark.sparkContext._jsc.sc().statusStore(), set()
+
+    def shuffled():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        stages = [found.apply(k) for k in range(found.size())]
+        new = [x.shuffleWriteBytes() for x in stages if x.stageId() not in known]
+        known.update(x.stageId() for x in stages)
+        return sum(new)
+
+    shuffled()
+    assert R.frontier(shares, spark.range(1).selectExpr("id AS member")).count() == 6
+    assert shuffled() < 300_000  # 400,000 rows take several times as much
+
+
 def test_sentences(spark):
     start = "lnsgkgsnl/1r5b1/ppppppppp/9/9/9/PPPPPPPPP/1B5R1/LNSGKGSNL b - 1"
     cases = {start: True, start.replace(" b ", " x "): False, start.replace("- 1", "- 0"): False, start.replace("-", "P"): False, start.replace("9/9/9", "9/9/8"): False, start.replace("LNSGKGSNL", "LNSG1GSNL"): False,
