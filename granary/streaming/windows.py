@@ -10,9 +10,9 @@ micro-batches, in any order within the watermark's delay, and across restarts, w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +21,8 @@ from granary.streaming.events import last_window
 #: State with timers is held by this store.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 START = ["start_at", "start_id"]
+#: Rows of a key that are taken at a time.
+ROWS = 10_000
 
 
 class LastWindow(StatefulProcessor):
@@ -34,40 +36,50 @@ class LastWindow(StatefulProcessor):
         self.start = handle.getValueState("start", "at bigint, id bigint")
         self.open = handle.getListState("open", "at bigint, id bigint, kind string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.start.get() if self.start.exists() else None
-        last, was = tuple(last) if last else None, last
-        kept = list(self.open.get()) if self.open.exists() else []
-        for frame in rows:  # each frame is as good as a batch of its own
-            new = [r for r in zip(frame["at"].tolist(), frame["id"].tolist(), frame["kind"].tolist()) if not last or r[:2] > last]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        made = Row(self.key, "at", "id", "kind", *START)
+        last = was = self._last()
+        kept = had = self._open()
+        while part := [(r.at, r.id, r.kind) for r in islice(rows, ROWS)]:  # each part is as good as a batch of its own
+            new = [r for r in part if not last or r[:2] > last]
             starts = [r[:2] for r in new if r[2] == self.marker]
             if starts:
                 last = max(starts)
-                kept = [r for r in (*kept, *new) if r[:2] >= last]
-                new = kept
+                kept = new = [r for r in (*kept, *new) if r[:2] >= last]
             else:
-                kept.extend(new)
-            if new:
-                at, ids, kinds = zip(*new)
-                begun = last or (None, None)
-                yield pd.DataFrame({self.key: [key[0]] * len(new), "at": at, "id": ids, "kind": kinds, **{c: pd.Series([x] * len(new), dtype="Int64") for c, x in zip(START, begun)}})
-        if last and (not was or tuple(was) != last):
+                kept = [*kept, *new]
+            for r in new:
+                yield made(key[0], *r, *(last or (None, None)))
+        if last != was:
             self.start.update(last)
-        self._keep(kept, timerValues)
+        self._keep(kept, had, timerValues)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._keep(list(self.open.get()) if self.open.exists() else [], timerValues)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        had = self._open()
+        self._keep(had, had, timerValues)
         return iter(())
 
-    def _keep(self, rows: list[tuple], timers) -> None:
-        """Rows that aren't older than the watermark stay, until a timer at the last of them."""
+    def _last(self) -> tuple | None:
+        found = self.start.get()
+        return found and tuple(found)
+
+    def _open(self) -> list[tuple]:
+        return [tuple(r) for r in self.open.get()]
+
+    def _keep(self, rows: list[tuple], had: list[tuple], timers) -> None:
+        """Of what the state had and the rows that came since, rows that aren't older than the watermark stay, until a timer at the last of them.
+
+        Each use of the state is a message to the JVM, so none is used that holds what it should.
+        """
         over = timers.getCurrentWatermarkInMs() * 1000
-        rows = [tuple(r) for r in rows if r[0] >= over]
-        if rows:
+        rows = [r for r in rows if r[0] >= over]
+        if not rows:
+            if had:
+                self.open.clear()
+            return
+        if rows != had:
             self.open.put(rows)
-            self.handle.registerTimer(max(r[0] for r in rows) // 1000 + 1)
-        elif self.open.exists():
-            self.open.clear()
+        self.handle.registerTimer(max(r[0] for r in rows) // 1000 + 1)
 
     def close(self) -> None:
         pass
@@ -83,7 +95,7 @@ def windowed(stream: DataFrame, key: str, time: str, identity: str, kind: str, s
     rows = rows.select(key, time, F.unix_micros(time).alias("at"), F.col(identity).cast("bigint").alias("id"), F.col(kind).alias("kind"))
     kept = rows.schema[key].dataType.simpleString()
     schema = f"`{key}` {kept}, at bigint, id bigint, kind string, start_at bigint, start_id bigint"
-    return rows.groupBy(key).transformWithStateInPandas(LastWindow(key, start), schema, "Append", "EventTime")
+    return rows.groupBy(key).transformWithState(LastWindow(key, start), schema, "Append", "EventTime")
 
 
 def append(stream: DataFrame, sink: str, checkpoint: str) -> None:

@@ -3,9 +3,10 @@
 import random
 from collections import Counter
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from granary.streaming.windows import append, read_gathered, read_windows, windowed
+from granary.streaming.windows import LastWindow, append, read_gathered, read_windows, windowed
 
 
 def plain(rows):
@@ -53,3 +54,39 @@ def test_state_is_dropped(spark, tmp_path):
     assert [tuple(x) for x in read_windows(found, "key", F.col("kind") == "stop").select("id", "kind").collect()] == [(6, "b")]
     kept = spark.read.format("statestore").option("stateVarName", "open").option("flattenCollectionTypes", "true").load(state)
     assert {x.at for x in kept.selectExpr("list_element.at AS at").collect()} <= {9 * hour, 10 * hour}
+
+
+class Counted:
+    """A state that counts its uses; on a cluster each is a message to the JVM."""
+
+    def __init__(self, uses, value):
+        self.uses, self.value, self.empty = uses, value, value
+
+    def __getattr__(self, name):
+        def use(*args):
+            self.uses.append(name)
+            if name in ("update", "put", "clear"):
+                self.value = args[0] if args else self.empty
+            return bool(self.value) if name == "exists" else self.value
+
+        return use
+
+
+def test_few_uses_of_the_state():
+    """A key's batch takes five messages at most, and one that brings nothing to keep takes two."""
+    uses, watermark = [], [0]
+    handle = type("Handle", (), {"getValueState": lambda *_: Counted(uses, None), "getListState": lambda *_: Counted(uses, []), "registerTimer": lambda *_: uses.append("timer")})()
+    timers = type("Timers", (), {"getCurrentWatermarkInMs": lambda _: watermark[0]})()
+    window = LastWindow("key", "go")
+    window.init(handle)
+
+    def batch(*rows):
+        uses.clear()
+        return [tuple(x) for x in window.handleInputRows((1,), iter([Row(key=1, ts=None, at=at, id=i, kind=kind) for at, i, kind in rows]), timers)]
+
+    assert batch((5, 1, "a"), (6, 2, "go"), (7, 3, "b")) == [(1, 6, 2, "go", 6, 2), (1, 7, 3, "b", 6, 2)] and len(uses) <= 5
+    assert batch((8, 4, "c")) == [(1, 8, 4, "c", 6, 2)] and len(uses) <= 4
+    watermark[0] = 1
+    uses.clear()
+    assert list(window.handleExpiredTimer((1,), timers, None)) == [] and uses == ["get", "clear"]
+    assert batch((4, 5, "late")) == [] and len(uses) == 2
