@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from granary.session import checkpointed
 
 NESTED = ["object", "array"]
+#: Rows whose texts are compared in one task.
+TASK_ROWS = 10_000
 
 
 def parsed(text: Column) -> Column:
@@ -78,10 +80,13 @@ def differences(rows: DataFrame, key: str, left: str, right: str, allowed: DataF
 
     change is `added` or `removed` for a path that one side has, `retyped` for other kinds, `changed` for other values of one
     kind, and `malformed` where a text is refused, even if both are. allowed (shape, change) lists differences that are none.
-    Keys are unique. Rows and both sides meet in one aggregate by key and path, not in a join.
+    Keys are unique. Rows and both sides meet in one aggregate by key and path, not in a join. A table's bytes say little of
+    the values in its texts, so rows are dealt out TASK_ROWS a task, before they are flattened and again by key before they meet.
     """
+    parts = -(-rows.count() // TASK_ROWS) or 1
+    rows = rows.select(key, left, right).repartition(parts)
     sides = [rows.select(F.col(key).alias("__key"), F.lit(side).alias("__side"), F.col(c).alias("__text")) for side, c in enumerate((left, right))]
-    flat = flatten(sides[0].unionByName(sides[1]), ["__key", "__side"], "__text")
+    flat = flatten(sides[0].unionByName(sides[1]), ["__key", "__side"], "__text").repartition(parts, "__key")
     of = lambda side: F.max(F.when(F.col("__side") == side, F.struct("kind", "value")))
     both = flat.groupBy("__key", "path").agg(F.min("shape").alias("shape"), of(0).alias("a"), of(1).alias("b"))
     change = (

@@ -63,3 +63,11 @@ def test_texts_that_are_no_value(spark):
     assert N.differences(made.where("false"), "k", "a", "b").count() == 0
     plan = N.strictly_equal(made, "k", "a", "b")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_tasks_do_not_grow_with_the_table(spark, monkeypatch):
+    """Rows in one file are compared by many tasks."""
+    monkeypatch.setattr(N, "TASK_ROWS", 100)
+    made = spark.range(0, 5000, 1, 1).selectExpr("id AS k", """concat('{"a":[', id, ']}') AS a""", """concat('{"a":[', id % 10, ']}') AS b""")
+    found = N.differences(made, "k", "a", "b")
+    assert found.rdd.getNumPartitions() == 50 and found.count() == 4990
