@@ -126,3 +126,8 @@ def test_manifest_is_made_by_many_tasks(spark, tmp_path):
         assert [x.count() for x in D.read_dataset(spark, str(tmp_path / "set"))] == [4, 4, 4]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_mean_of_means_beyond_doubles(spark):
+    groups = spark.createDataFrame([(30637086, 1200750), (30535308, 1199100), (30630192, 1200150)], "total long, n long")
+    assert tuple(E.exact_mean_of_means(groups, "total", "n").first()) == ("132195593784515940000", "5183997488696250000")
