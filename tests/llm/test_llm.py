@@ -120,6 +120,22 @@ def test_op2_selects_few_lines():
     assert len(np.unique(at)) < 0.5 * len(number) and ((spans[:, 0] <= at) & (at <= spans[:, 1])).all()
 
 
+def test_op2_runs_before_lines(spark, sf, monkeypatch):
+    """The query looks for runs by windows of many words, of whose lines few are selected; a line is a window only where no run goes."""
+    windows = []
+    own = line_dedup.extended
+    monkeypatch.setattr(line_dedup, "extended", lambda matched, words: windows.append(words) or own(matched, words))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    line_dedup.line_dedup(docs)
+    assert windows == [line_dedup.RUN_WORDS, 1]
+    made = line_dedup.fingerprints(docs, "doc_id", "text", line_dedup.RUN_WORDS, 1).selectExpr("sum(size(number)) AS n", "sum(size(at)) AS chosen").first()
+    assert 0 < made.chosen < made.n
+    run = "\n".join(f"w{k} x y z" for k in range(20))
+    rows = [(1, run + "\nlone"), (2, "a\n" + run + "\nlone\nb"), (3, "b\nw3 x y z\nc"), (4, "b")]
+    found = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (rows[0][1], 0), 2: ("a\nb", 21), 3: ("c", 2), 4: ("", 1)}
+
+
 def test_op2_runs_across_ids(spark):
     """Repeated and null ids, repeated rows, runs of short lines."""
     run = "a b\nc\n\nd e f\ng"
