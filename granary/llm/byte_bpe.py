@@ -3,7 +3,8 @@
 The tokenizer is put together from a rank file: tokens by rank, and for each token of several bytes the pair that byte
 pair encoding merges last. Token ids are packed as little-endian unsigned 32-bit integers, so a document's ids are one
 binary value. Offsets follow from the tokens' byte lengths and the byte-to-character map of the text: a token that holds
-part of a character gets the whole character's offsets. Decoding spells each id in the vocabulary's characters and reverses
+part of a character gets the whole character's offsets. With the published pattern a text is split by Python's `re`, whose
+classes are listed by the library's own, and only words not met before are encoded. Decoding spells each id in the vocabulary's characters and reverses
 the byte table; as tokens may split characters, it gives bytes, and text only from the joined bytes.
 """
 
@@ -11,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+import sys
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,13 +22,18 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
 from .common import BATCH_BYTES, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of text in a call of the encoder, whose results take many times that.
 PART = 1 << 18
+#: Words whose ids a Python worker keeps, and their longest; others are forgotten after their part.
+CACHE, LONGEST = 500_000, 64
+#: Before a space between two ASCII letters a word ends, whatever is before or after; long texts are cut there.
+CUT = re.compile("[A-Za-z](?= [A-Za-z])")
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
 def byte_characters() -> list[str]:
@@ -75,6 +83,83 @@ def token_bytes(path: str, pattern: str) -> list[bytes | None]:
     return found
 
 
+@cache
+def listed(name: str) -> list[tuple[int, int]]:
+    """Runs (first, last) of all code points that the library's regular expressions take for `name`, such as \\p{L}."""
+    every = [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]
+    left = normalizers.Replace(Regex(name), "").normalize_str("".join(map(chr, every)))
+    taken = np.ones(sys.maxunicode + 3, np.int8)  # of each code point, with none before the first and after the last
+    taken[[0, -1]] = 0
+    taken[np.frombuffer(left.encode("utf-32-le"), "<u4") + 1] = taken[0xD801:0xE001] = 0
+    steps = np.diff(taken)
+    return list(zip(np.flatnonzero(steps > 0).tolist(), (np.flatnonzero(steps < 0) - 1).tolist()))
+
+
+def ranges(runs: list[tuple[int, int]], most: int) -> str:
+    """What a character class holds for runs, up to code point `most`."""
+    return "".join(f"\\U{a:08x}-\\U{min(b, most):08x}" for a, b in runs if a <= most)
+
+
+@cache
+def splitter(most: int) -> re.Pattern:
+    """public_tokenizers.PATTERN for texts up to code point `most`: the fewer ranges a class has, the faster it is left. Its endings come second, as no word of letters begins like them."""
+    letter, number, white = (ranges(listed(x), most) for x in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(rf" ?[{letter}]+|'(?:[stmd]|re|ve|ll)| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+")
+
+
+class WordEncoder:
+    """Packed ids of texts by public_tokenizers.PATTERN: those of its matches one after the other, with a bounded cache of words."""
+
+    def __init__(self, path: str):
+        whole = tokenizer(path, public_tokenizers.PATTERN)
+        self.bare = Tokenizer(whole.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.spelled = "".join(byte_characters()[:255]) + " "  # no byte of UTF-8 is 255
+        self.sizes = np.array([len(x or b"") for x in token_bytes(path, public_tokenizers.PATTERN)], np.int64)
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, all in a call, in which they are spelled as in the vocabulary; the words' bytes part its tokens."""
+        raw = [w.encode() for w in words]
+        text = b"\xff".join(raw).decode("latin-1").translate(self.spelled)
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        upto = np.cumsum(list(map(len, raw)))
+        cuts = np.searchsorted(ends, upto)
+        if not np.array_equal(ends[cuts], upto):
+            raise AssertionError("words and ids don't match")
+        packed, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
+        self.known.update(zip(words, [packed[a:b] for a, b in zip([0, *stops], stops)]))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        words = [splitter(0x7F if t.isascii() else sys.maxunicode if BEYOND.search(t) else 0xFFFF).findall(t) for t in texts]
+        new = list(set().union(*words).difference(self.known))
+        if new:
+            self._learn(new)
+        found = [b"".join(map(self.known.__getitem__, w)) for w in words]
+        full = len(self.known) > CACHE
+        for w in new:
+            if full or len(w) > LONGEST:
+                del self.known[w]
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(texts) > 1 or not texts or len(texts[0]) <= PART:
+            return self._encode(texts)
+        parts, start = [], 0
+        while start < len(texts[0]):
+            cut = CUT.search(texts[0], start + PART)
+            stop = cut.end() if cut else len(texts[0])
+            parts += self._encode([texts[0][start:stop]])
+            start = stop
+        return [b"".join(parts)]
+
+
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def token_offsets(text: bytes, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code point offsets (starts, ends) of the characters that each token's bytes touch."""
     if not len(ids):
@@ -93,7 +178,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     ids are little-endian unsigned 32-bit integers. n_split counts tokens that hold a part of a character: by the offsets,
     those that begin in the character in which the token before ends. Null text is the empty text and has no tokens. No
     special tokens are known: their strings are ordinary text. Repeated rows get a row each; other columns are not read; an
-    empty table gives an empty result. Whole texts are encoded, in calls of some PART bytes or one text.
+    empty table gives an empty result. Whole texts are encoded, some PART bytes or one text at a time; by public_tokenizers.PATTERN
+    word by word, by any other pattern in calls of the library.
     """
     path = rank_file or public_tokenizers.path(RANKS)
     docs = docs.select(id_col, text_col)
@@ -102,10 +188,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
+        by_word = word_encoder(path) if pattern == public_tokenizers.PATTERN else None
         lengths = np.array([len(x or b"") for x in token_bytes(path, pattern)], np.int32)
         for batch in batches:
             for start, texts in slices(batch.column(1), PART):
-                found = [np.array(e.ids, "<u4") for e in t.encode_batch_fast([(x or b"").decode() for x in texts], add_special_tokens=False)]
+                plain = [(x or b"").decode() for x in texts]
+                if by_word:
+                    found = [np.frombuffer(x, "<u4") for x in by_word.encode(plain)]
+                else:
+                    found = [np.array(e.ids, "<u4") for e in t.encode_batch_fast(plain, add_special_tokens=False)]
                 # In ASCII each byte is a character, and no token splits one.
                 places = [None if not offsets and (x or b"").isascii() else token_offsets(x or b"", i, lengths) for x, i in zip(texts, found)]
                 split = [int(np.count_nonzero(p[0][1:] < p[1][:-1])) if p else 0 for p in places]

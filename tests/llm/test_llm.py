@@ -195,6 +195,28 @@ def test_op4_offsets_and_split_characters(spark):
     assert {bytes(r.decoded).decode() for r in byte_bpe.decode(clash).collect()} == set(texts)
 
 
+def test_op4_words_are_encoded_once(monkeypatch):
+    """Ids are tiktoken's on any characters; a word met before is not encoded again, and those beyond the bounds are forgotten."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(path), special_tokens={})
+    pack = lambda text: struct.pack(f"<{len(plain.encode_ordinary(text))}I", *plain.encode_ordinary(text))
+    own = byte_bpe.WordEncoder(path)
+    learnt, learn = [], own._learn
+    monkeypatch.setattr(own, "_learn", lambda words: (learnt.extend(words), learn(words)))
+    text = "it's we'LL  don't\t\n \x1c\x85 1234 five5 -- \u00a0x\u3000 <|endoftext|> "
+    assert own.encode([text * 50, text]) == [pack(text * 50), pack(text)] and len(learnt) == len(set(learnt))
+    del learnt[:]
+    assert own.encode([text]) == [pack(text)] and not learnt
+    edges = [c for a, b in itertools.chain(*map(byte_bpe.listed, (r"\p{L}", r"\p{N}", r"\s"))) for c in (a - 1, a, b, b + 1)]
+    chars = [chr(c) for c in edges if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c}.{c} {c}  {c}{c}b" for c in chars[i : i + 20]) for i in range(0, len(chars), 20)]
+    assert own.encode(texts) == [pack(t) for t in texts]
+    long = " ".join(f"word{i} of{'x' * (i % 90)}" for i in range(20_000))
+    monkeypatch.setattr(byte_bpe, "CACHE", len(own.known) + 100)
+    assert len(long) > 2 * byte_bpe.PART and own.encode([long]) == [pack(long)]
+    assert len(own.known) <= byte_bpe.CACHE and max(map(len, own.known)) <= byte_bpe.LONGEST
+
+
 PROSE = [f"Sentence number {i} talks about the river, the town and its people. It goes on for a while, as articles do." for i in range(12)]
 LINKS = "<ul>" + "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(6)) + "</ul>"
 BODY = "<h1>Title here</h1>" + "".join(f"<p>{x}</p>" for x in PROSE)
