@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.log_lines import is_primary, log_line
 from granary.operators import attempts as A
-from granary.session import scratch_folder, table
+from granary.session import checkpointed, scratch_folder, table
 from granary.sources import attempts as S
 
 from . import Registry
@@ -150,10 +150,11 @@ def _(spark, sf_dir):
     sha = F.when(F.col("attempt") % 5 == 0, F.sha2("log_sha256", 256)).otherwise(F.col("log_sha256"))
     lost = plan.where("attempt % 11 = 0").selectExpr("-1 - attempt AS attempt", "'lost' AS status", "1L AS log_bytes", "'x' AS log_sha256")
     damaged = records.where("attempt % 7 <> 0").withColumn("log_sha256", sha).unionByName(lost)
-    found = S.faults(damaged, S.logs(spark, path))
+    raw = S.raw_logs(spark, path)
+    found = checkpointed(S.faults(damaged, S.logs(raw)))
     sound = found.where("fault = 'ok'").select("attempt")
-    events = spark.read.schema(S.EVENT).json(f"{path}/raw").join(sound, "attempt", "left_semi")
-    observed = A.observe(events, plan.join(sound, "attempt", "left_semi")).select("attempt", "status")
+    events = S.log_events(raw.join(sound, "attempt", "left_semi"))
+    observed = checkpointed(A.observe(events, plan.join(sound, "attempt", "left_semi")).select("attempt", "status"))
     same = A.revalidated(records.join(sound, "attempt", "left_semi").select("attempt", "status"), observed).where("verdict = 'ok'").select("attempt")
     return found.join(observed.join(same, "attempt", "left_semi"), "attempt", "left").select(F.col("attempt").alias("user_id"), "fault", "status")
 

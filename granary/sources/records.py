@@ -27,11 +27,16 @@ def strict_json(text: Column, schema: str) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema))
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of all data files in a folder and below it, names relative to it (AGG-34)."""
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, bytes, content) of all data files in a folder and below it, names relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
-    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(~F.col("name").startswith("_"))
+    return files.select(name.alias("name"), F.col("length").alias("bytes"), "content").where(~F.col("name").startswith("_"))
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(name, bytes, sha256) of all data files in a folder and below it, names relative to it (AGG-34)."""
+    return binary_files(spark, path).select("name", "bytes", F.sha2("content", 256).alias("sha256"))
 
 
 def verified_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
