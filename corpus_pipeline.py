@@ -52,7 +52,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null text is the empty text. Rows that repeat an id, or have none, get a row each. Other columns are not read. An empty table gives an empty result.
     """
-    found = byte_bpe.decode(byte_bpe.encode(docs))
+    found = byte_bpe.round_trip(docs)
     return found.select("doc_id", "ids", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -22,14 +22,15 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
-from .common import BATCH_BYTES, slices
+from .common import BATCH_BYTES, rest, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of text in a call of the encoder, whose results take many times that.
 PART = 1 << 18
-#: Words whose ids a Python worker keeps, and their longest; others are forgotten after their part.
+#: Words whose ids a task keeps, and their longest; others are forgotten after their part.
 CACHE, LONGEST = 500_000, 64
 #: Before a space between two ASCII letters a word ends, whatever is before or after; long texts are cut there.
 CUT = re.compile("[A-Za-z](?= [A-Za-z])")
@@ -155,11 +156,6 @@ class WordEncoder:
         return [b"".join(parts)]
 
 
-@cache
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def token_offsets(text: bytes, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code point offsets (starts, ends) of the characters that each token's bytes touch."""
     if not len(ids):
@@ -183,29 +179,36 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     """
     path = rank_file or public_tokenizers.path(RANKS)
     docs = docs.select(id_col, text_col)
+    schema = _encoded_schema(docs, id_col, offsets)
+    return docs.mapInArrow(lambda batches: _encoded(batches, path, pattern, offsets, schema.names), schema)
+
+
+def _encoded_schema(docs: DataFrame, id_col: str, offsets: bool) -> StructType:
     extra = [F.array().cast("array<array<int>>").alias("offsets")] if offsets else []
-    schema = docs.select(id_col, F.lit(b"").alias("ids"), *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_split")], *extra).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path, pattern)
-        by_word = word_encoder(path) if pattern == public_tokenizers.PATTERN else None
-        lengths = np.array([len(x or b"") for x in token_bytes(path, pattern)], np.int32)
-        for batch in batches:
-            for start, texts in slices(batch.column(1), PART):
-                plain = [(x or b"").decode() for x in texts]
-                if by_word:
-                    found = [np.frombuffer(x, "<u4") for x in by_word.encode(plain)]
-                else:
-                    found = [np.array(e.ids, "<u4") for e in t.encode_batch_fast(plain, add_special_tokens=False)]
-                # In ASCII each byte is a character, and no token splits one.
-                places = [None if not offsets and (x or b"").isascii() else token_offsets(x or b"", i, lengths) for x, i in zip(texts, found)]
-                split = [int(np.count_nonzero(p[0][1:] < p[1][:-1])) if p else 0 for p in places]
-                columns = [batch.column(0).slice(start, len(texts)), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64()), pa.array(split, pa.int64())]
-                if offsets:
-                    columns.append(pa.array([np.stack(x, axis=1).tolist() for x in places], pa.list_(pa.list_(pa.int32()))))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+    return docs.select(id_col, F.lit(b"").alias("ids"), *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_split")], *extra).schema
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, offsets: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """encode() of a task's rows (id, text). Words are known as long as the task runs: a worker that waits holds none."""
+    t = tokenizer(path, pattern)
+    by_word = WordEncoder(path) if pattern == public_tokenizers.PATTERN else None
+    lengths = np.array([len(x or b"") for x in token_bytes(path, pattern)], np.int32)
+    for batch in batches:
+        for start, texts in slices(batch.column(1), PART):
+            plain = [(x or b"").decode() for x in texts]
+            if by_word:
+                found = [np.frombuffer(x, "<u4") for x in by_word.encode(plain)]
+            else:
+                found = [np.array(e.ids, "<u4") for e in t.encode_batch_fast(plain, add_special_tokens=False)]
+            # In ASCII each byte is a character, and no token splits one.
+            places = [None if not offsets and (x or b"").isascii() else token_offsets(x or b"", i, lengths) for x, i in zip(texts, found)]
+            split = [int(np.count_nonzero(p[0][1:] < p[1][:-1])) if p else 0 for p in places]
+            columns = [batch.column(0).slice(start, len(texts)), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64()), pa.array(split, pa.int64())]
+            if offsets:
+                columns.append(pa.array([np.stack(x, axis=1).tolist() for x in places], pa.list_(pa.list_(pa.int32()))))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+    by_word = None
+    rest()
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -217,19 +220,29 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", r
     encoded = encoded.drop(out_col)
     at = encoded.columns.index(ids_col)
     schema = encoded.withColumn(out_col, F.lit(b"")).schema
+    return encoded.mapInArrow(lambda batches: _decoded(batches, at, path, pattern, schema.names), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = token_bytes(path, pattern)
-        for batch in batches:
-            for start, packed in slices(batch.column(at), BATCH_BYTES):
-                texts = [b"".join(map(known.__getitem__, np.frombuffer(p or b"", "<u4").tolist())) for p in packed]
-                part = batch.slice(start, len(packed))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+def _decoded(batches: Iterator[pa.RecordBatch], at: int, path: str, pattern: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """decode() of a task's rows, whose packed ids are in column `at`."""
+    known = token_bytes(path, pattern)
+    for batch in batches:
+        for start, packed in slices(batch.column(at), BATCH_BYTES):
+            texts = [b"".join(map(known.__getitem__, np.frombuffer(p or b"", "<u4").tolist())) for p in packed]
+            part = batch.slice(start, len(packed))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=names)
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """decode(encode(docs)) in one pass: a task then has one Python worker, not two that each come to hold tokenizer and words."""
+    path = rank_file or public_tokenizers.path(RANKS)
+    docs = docs.select(id_col, text_col)
+    schema = _encoded_schema(docs, id_col, False).add("decoded", "binary", False)
+    names = schema.names
+    return docs.mapInArrow(lambda batches: _decoded(_encoded(batches, path, pattern, False, names[:-1]), 1, path, pattern, names), schema)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, n_split, ids_sha256, decoded_sha256) after encoding and decoding every row."""
-    found = decode(encode(docs, id_col, text_col))
+    found = round_trip(docs, id_col, text_col)
     return found.select(id_col, "n_tokens", "n_split", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against plain versions, and on awkward rows."""
 
 import base64
+import gc
 import hashlib
 import itertools
 import random
@@ -12,6 +13,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
@@ -217,6 +219,23 @@ def test_op4_words_are_encoded_once(monkeypatch):
     assert len(own.known) <= byte_bpe.CACHE and max(map(len, own.known)) <= byte_bpe.LONGEST
 
 
+def test_op4_one_worker_a_task_that_keeps_no_words(spark, sf, odd):
+    """Encoding and decoding share a pass, with the rows of two; when a task has ended its worker holds no words."""
+    docs = odd.select("doc_id", "text")
+    in_two = byte_bpe.decode(byte_bpe.encode(docs))
+    in_one = byte_bpe.round_trip(docs)
+    assert in_one.schema == in_two.schema and sorted(in_one.collect(), key=repr) == sorted(in_two.collect(), key=repr)
+    for found in (byte_bpe.digests(docs), corpus_pipeline.tokens(spark, docs, sf)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert byte_bpe.round_trip(docs.where("false")).count() == 0
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["words of a task", None]})
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    parts = byte_bpe._encoded(iter([batch]), path, public_tokenizers.PATTERN, False, ["doc_id", "ids", "n_tokens", "n_split"])
+    before = sum(isinstance(x, byte_bpe.WordEncoder) for x in gc.get_objects())
+    assert next(parts).num_rows == 2 and sum(isinstance(x, byte_bpe.WordEncoder) for x in gc.get_objects()) == before + 1
+    assert not list(parts) and sum(isinstance(x, byte_bpe.WordEncoder) for x in gc.get_objects()) == before
+
+
 PROSE = [f"Sentence number {i} talks about the river, the town and its people. It goes on for a while, as articles do." for i in range(12)]
 LINKS = "<ul>" + "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(6)) + "</ul>"
 BODY = "<h1>Title here</h1>" + "".join(f"<p>{x}</p>" for x in PROSE)
